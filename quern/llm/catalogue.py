@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.encoding import encode_documents
+from quern.llm.language_model import score_documents
+from quern.llm.minhash import near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.token_counts import count_tokens
 
@@ -20,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=1, keep_ids=False)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, width=5, bands=10, rows=4)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -28,8 +34,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"), folds=10, mu=20.0, add=0.1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_byte_bpe, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op4_minhash, op7_byte_bpe, op9_token_counts, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
