@@ -11,6 +11,7 @@ from quern.llm.encoding import encode_documents
 from quern.llm.language_model import score_documents
 from quern.llm.minhash import near_duplicates
 from quern.llm.packing import pack_documents
+from quern.llm.quality_model import score_quality
 from quern.llm.token_counts import count_tokens
 
 
@@ -30,6 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -39,7 +44,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_minhash, op7_byte_bpe, op9_token_counts, op10_language_model)}
+    return {f.__name__: f for f in (op1_packing, op4_minhash, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
