@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.cap_filters import link_vectors
 from quern.llm.encoding import encode_documents
 from quern.llm.language_model import score_documents
 from quern.llm.minhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end=1, keep_ids=False)
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9, filters_each=24)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, width=5, bands=10, rows=4)
 
@@ -44,7 +49,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_minhash, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op4_minhash, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
