@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.cap_filters import link_vectors
 from quern.llm.encoding import encode_documents
 from quern.llm.language_model import score_documents
 from quern.llm.minhash import near_duplicates
 from quern.llm.packing import pack_documents
+from quern.llm.personal_data import KINDS, extract, said
 from quern.llm.quality_model import score_quality
+from quern.llm.quality_rules import judge
 from quern.llm.token_counts import count_tokens
 
 
@@ -28,10 +31,21 @@ def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9, filters_each=24)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(_read(spark, sf_dir, "documents"), rounds=3, confidence=0.8, support=4)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "found")).alias("spans"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, width=5, bands=10, rows=4)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -49,7 +63,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op4_minhash, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
+    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_personal_data, op4_minhash, op6_quality_rules, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
