@@ -17,6 +17,11 @@ from quern.llm.personal_data import KINDS, extract, said
 from quern.llm.quality_model import score_quality
 from quern.llm.quality_rules import judge
 from quern.llm.token_counts import count_tokens
+from quern.llm.url_templates import judge_urls
+
+
+#: Verdicts by host and start of the path; a rule holds for all subdomains of its host, and the longest one that fits decides.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, width=5, bands=10, rows=4)
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
@@ -62,8 +71,15 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), folds=10, mu=20.0, add=0.1)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_cap_filters, op3_personal_data, op4_minhash, op6_quality_rules, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model)}
+    own = [op1_packing, op2_cap_filters, op3_personal_data, op4_minhash, op5_url_templates, op6_quality_rules, op7_byte_bpe, op8_quality_classifier, op9_token_counts, op10_language_model, pipeline]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -195,3 +195,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return arrow_map(docs, run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any other columns) whose text scores at least `threshold`, by the same model as score_quality."""
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    ship(docs.sparkSession)
+    machine = docs.sparkSession.sparkContext.broadcast(train(plain, labels, folds, sample))  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            yield batch.filter(pa.array(machine.value.probability(features(batch.column("text"))) >= threshold))
+
+    return arrow_map(docs, run, docs.schema)

@@ -50,10 +50,11 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang)
 
 
-def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """doc_id, lang (null without a reference), base counts, base_failed, and the two histograms."""
+def measure(docs: DataFrame, carry: bool = False, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """doc_id, lang (null without a reference), base counts, base_failed, the two histograms, and with `carry` the row's own columns as the struct `row`."""
+    own = ["row"] if carry else []
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), _language(docs[lang_column].cast("string")).alias("lang"), text.alias("text"))
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), _language(docs[lang_column].cast("string")).alias("lang"), text.alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []))
     rows = rows.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     listed = F.lit(None).cast("array<string>")
@@ -64,6 +65,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     places = F.filter(F.transform("words", lambda w: F.array_position(F.col("listed"), w)), lambda p: p > 0)
     counted = [F.length(F.regexp_replace("text", f"[^{c}]+", "")) for c in _CLASSES]
     rows = rows.select(
+        *own,
         "doc_id",
         "lang",
         F.col("n").cast("long").alias("n_words"),
@@ -78,6 +80,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     share = lambda counts, total: F.transform(F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0), lambda a, x: a + x))), lambda x: x / total)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return rows.select(
+        *own,
         *("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
         F.when(F.col("chars") > 0, share(F.col("classes"), F.col("chars"))).alias("classes"),
         F.when(F.col("n_words") > 0, share(F.col("common"), F.col("n_words").cast("int"))).alias("common"),
@@ -98,6 +101,14 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
+def _judged(measured: DataFrame, most_classes: float, most_common: float) -> DataFrame:
+    """The measured rows with both distances and the verdict `kept`."""
+    found = measured.join(F.broadcast(references(measured)), "lang", "left")  # one small row for each language of COMMON_WORDS
+    found = found.withColumn("class_distance", distance(F.col("classes"), F.col("classes_reference"))).withColumn("word_distance", distance(F.col("common"), F.col("common_reference")))
+    far = F.coalesce((F.col("class_distance") > most_classes) | (F.col("word_distance") > most_common), F.lit(False))
+    return found.withColumn("kept", ~F.col("base_failed") & ~((F.col("n_words") >= LEAST_WORDS) & far))
+
+
 def judge(docs: DataFrame, most_classes: float = 0.25, most_common: float = 0.3, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and both distances.
 
@@ -107,9 +118,10 @@ def judge(docs: DataFrame, most_classes: float = 0.25, most_common: float = 0.3,
     words and fail. Null ids and repeated rows are judged like any others. Other columns are not read. An empty table
     gives an empty result. Every row is measured once and written to the shared folder, as references need all rows.
     """
-    measured = materialise(measure(docs, id_column, text_column, lang_column))
-    found = measured.join(F.broadcast(references(measured)), "lang", "left")  # one small row for each language of COMMON_WORDS
-    found = found.withColumn("class_distance", distance(F.col("classes"), F.col("classes_reference"))).withColumn("word_distance", distance(F.col("common"), F.col("common_reference")))
-    far = F.coalesce((F.col("class_distance") > most_classes) | (F.col("word_distance") > most_common), F.lit(False))
-    kept = ~F.col("base_failed") & ~((F.col("n_words") >= LEAST_WORDS) & far)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+    found = _judged(materialise(measure(docs, False, id_column, text_column, lang_column)), most_classes, most_common)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def keep_good(docs: DataFrame, most_classes: float = 0.25, most_common: float = 0.3) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang and any other columns) that `judge` keeps."""
+    return _judged(materialise(measure(docs, True)), most_classes, most_common).where("kept").select("row.*")

@@ -106,6 +106,6 @@ def crc32_mod(ids: pa.Array, mod: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(str(x).encode()) % mod for x in ids.to_pylist()), np.int64, len(ids))
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
