@@ -132,6 +132,8 @@ def _build(cls: type, prefix: str, given: dict[str, list[str]], used: set[str],
                 values[name] = flag.default
             elif not here and flag.optional:
                 values[name] = None
+            elif not here and kinds:
+                problems.append(f"--{flag.name} is missing")
             elif kinds:
                 values[name] = _choose(kinds, flag.name, inside, given, used, problems)
             else:

@@ -23,6 +23,7 @@ from quern.types import (
     DOUBLE,
     DURATION,
     EMPTY,
+    EPOCH,
     FLOAT,
     FLOATING,
     INT,
@@ -284,13 +285,15 @@ class E:
         """False on no value."""
         if isinstance(self.kind, Seq):
             return E(BOOL, F.exists(self.col, lambda x: _condition(f(E(self.kind.of, x)))), agg=self.agg)
-        return self.map(f).get_or_else(False)
+        test = f(self._inner())
+        return self._like(BOOL, ~self.is_empty().col & _condition(test), test)
 
     def forall(self, f: Callable[[E], E]) -> E:
         """True on no value."""
         if isinstance(self.kind, Seq):
             return E(BOOL, F.forall(self.col, lambda x: _condition(f(E(self.kind.of, x)))), agg=self.agg)
-        return self.map(f).get_or_else(True)
+        test = f(self._inner())
+        return self._like(BOOL, self.is_empty().col | _condition(test), test)
 
     def contains(self, value: Any) -> E:
         """Whether an optional value is there and equal, or a sequence has an equal one."""
@@ -599,8 +602,10 @@ def _literal(kind: Kind, value: Any) -> Column:
     if isinstance(kind, Sum):
         fields = [(n, p) for n, p in kind.variants if p.fields]
         return F.struct(F.lit(value[0]).alias("discriminant"), *(_literal(p, v).alias(n) for (n, p), v in zip(fields, value[1:], strict=True)))
-    if kind == TIMESTAMP and isinstance(value, datetime.datetime):
-        return F.lit(value).cast("timestamp")
+    if kind == TIMESTAMP:
+        return F.timestamp_micros(F.lit((value - EPOCH) // datetime.timedelta(microseconds=1)))
+    if kind == DATE:
+        return F.lit(value.isoformat()).cast("date")
     return F.lit(value).cast(cast_type(kind))
 
 

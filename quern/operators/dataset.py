@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions.expr import E, coalesce, kind_from_spark, named, tuple_
+from quern.session import ship
 from quern.types import BOOL, LONG, Kind, Map, Opt, Product, Seq, TypeProblem, decode, encode, groupable, is_opt, kind_of, nullable, orderable, require, schema, spark_type
 
 _numbers = itertools.count()
@@ -190,6 +191,7 @@ class Dataset:
             if held:
                 yield pa.RecordBatch.from_pylist(held, arrow)
 
+        ship(self.frame.sparkSession)
         return Dataset.of_df(self.to_df().mapInArrow(run, nullable(target)), to)
 
     def map(self, f: Callable[[Any], Any], model: Any) -> Dataset:

@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they need no folder of the driver's."""
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # already running from a shipped archive
+        return
+    files = sorted(root.rglob("*.py"))
+    digest = hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    key = (spark.sparkContext.applicationId, digest)
+    if key in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(), f"quern-{digest}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in files:
+            z.write(p, str(p.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(key)
+
 #: ANSI errors on overflow, UTC instants, microseconds in files, proleptic dates, adaptive execution.
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",

@@ -120,6 +120,7 @@ Float, Double = Annotated[float, FLOAT], Annotated[float, DOUBLE]
 INTEGRAL, FLOATING = (BYTE, SHORT, INT, LONG), (FLOAT, DOUBLE)
 _SPARK = {"boolean": T.BooleanType(), "byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType(), "duration": T.LongType()}
 _PYTHON = {bool: BOOL, int: LONG, float: DOUBLE, str: STRING, bytes: BINARY, datetime.date: DATE, datetime.datetime: TIMESTAMP, datetime.timedelta: DURATION}
+_VALUES = {"boolean": bool, "byte": int, "short": int, "int": int, "long": int, "float": (float, int), "double": (float, int), "string": str, "binary": (bytes, bytearray), "date": datetime.date, "timestamp": datetime.datetime, "duration": (datetime.timedelta, int)}
 #: The one field of a product without fields.
 EMPTY = "_empty"
 
@@ -343,6 +344,12 @@ def encode(kind: Kind, value: Any) -> Any:
         return (name, *(encode(p, value) if n == name else None for n, p in kind.variants if p.fields))
     if isinstance(kind, Enum):
         return camel(value.name) if isinstance(value, enum.Enum) else value
+    if isinstance(kind, (Scalar, Dec)):
+        allowed = decimal.Decimal if isinstance(kind, Dec) else _VALUES[kind.name]
+        require(isinstance(value, allowed) and (isinstance(value, bool) == (kind == BOOL)), f"{value!r} is no {kind}")
+        if kind in INTEGRAL:
+            bits = (7, 15, 31, 63)[INTEGRAL.index(kind)]
+            require(-(2**bits) <= value < 2**bits, f"{value} doesn't fit {kind}")
     if kind == DURATION and isinstance(value, datetime.timedelta):
         return value // datetime.timedelta(microseconds=1)
     if kind == TIMESTAMP and isinstance(value, datetime.datetime) and value.tzinfo is None:
