@@ -1,43 +1,21 @@
-"""What the operators share: code shipping, the shared scratch folder, Arrow batches cut by bytes."""
+"""What the operators share: the shared scratch folder, Arrow batches cut by bytes."""
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.session import ship
+
 #: Text bytes handled at once in a Python worker; bounds its memory whatever the Arrow batch size.
 SLICE_BYTES = 8 << 20
 
-_shipped: set[tuple[str, str]] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need no folder of the driver's."""
-    root = Path(__file__).resolve().parents[1]
-    if not root.is_dir():  # already running from a shipped archive
-        return
-    files = sorted(p for p in root.rglob("*.py"))
-    digest = hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
-    key = (spark.sparkContext.applicationId, digest)
-    if key in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(), f"quern-{digest}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in files:
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(key)
-
 
 def scratch(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir. Only a local master may lack that setting."""
