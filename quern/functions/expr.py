@@ -462,6 +462,11 @@ class E:
         require(not both, f"both sides have {sorted(both)}")
         return self._made({n: self[n] for n in self.kind.names} | {n: other[n] for n in other.kind.names})
 
+    def to_named(self, *names: str) -> E:
+        """The fields in order under other names."""
+        require(len(names) == len(self._product().names), f"{len(self.kind.names)} names for {self.kind}")
+        return self._made({new: self[old] for new, old in zip(names, self.kind.names, strict=True)})
+
     def unnest(self) -> E:
         """All fields of the fields."""
         return functools.reduce(E.merge, (self[n].opened() for n in self._product().names))

@@ -102,7 +102,7 @@ def can_widen(source: T.DataType, to: Kind) -> bool:
     return can_cast(kind_from_spark(source), to) and not isinstance(source, T.StringType) or cast_type(to) == source
 
 
-def read_unpivoted(spark: SparkSession, path: str, model: Any, format: str = "parquet") -> Dataset:
+def read_unpivoted(spark: SparkSession, path: str, model: Any, format: str = "parquet", metadata: bool = False) -> Dataset:
     """Files whose columns beyond the model's first ones are turned into rows: the model's last two fields take a column's
     name and its value. Values may only be widened, and a nullable column can't become a required value."""
     kind = kind_of(model)
@@ -110,10 +110,15 @@ def read_unpivoted(spark: SparkSession, path: str, model: Any, format: str = "pa
     *ids, (name, name_kind), (value, value_kind) = kind.fields
     require(name_kind == STRING, f"the name column {name!r} is no string")
     df = spark.read.format(format).load(path)
-    return unpivot(df, kind)
+    if not metadata:
+        return unpivot(df, kind)
+    own = "_file_path"
+    long = unpivot(df.select("*", F.col("_metadata.file_path").alias(own)), Product(((own, STRING), *kind.fields)))
+    return long.select(lambda r: tuple_(row_of([("file_path", STRING, r[own].col)]), row_of([(n, k, r[n].col) for n, k in kind.fields], kind.cls)))
 
 
 def unpivot(df: DataFrame, model: Any) -> Dataset:
+    """Columns beyond the model's first ones as rows: the last two fields take a column's name and its value."""
     kind = kind_of(model)
     *ids, (name, _), (value, value_kind) = kind.fields
     kept = [n for n, _ in ids]

@@ -25,7 +25,7 @@ class PathSource:
 
     def dataset(self, spark: SparkSession, model: Any, partitioner: Any = None, **values: Any) -> ReadDataset:
         if self.unpivot:
-            return ReadDataset(lambda meta: io.read_unpivoted(spark, self.path, model, self.format))
+            return ReadDataset(lambda meta: io.read_unpivoted(spark, self.path, model, self.format, meta))
         if partitioner is None:
             return ReadDataset(lambda meta: io.read(spark, self.path, model, self.format, self.glob, self.widen, meta))
         return ReadDataset(lambda meta: io.read_hive(spark, self.path, partitioner, model, self.format, self.glob, self.widen, meta, **values), True)

@@ -361,6 +361,15 @@ def _hashable(value: Any) -> Any:
     return tuple(map(_hashable, value)) if isinstance(value, list) else value
 
 
+def assemble(kind: Product, parts: list[Any]) -> Any:
+    """A product's own Python value: an object, a tuple, or a dict where there is no class."""
+    if dataclasses.is_dataclass(kind.cls):
+        return kind.cls(*parts)
+    if kind.cls is tuple or (kind.fields and kind.fields[0][0] == "_1"):
+        return tuple(parts)
+    return kind.cls() if kind.cls else dict(zip(kind.names, parts, strict=True))
+
+
 def decode(kind: Kind, value: Any) -> Any:
     """A value that Spark gave, as the model's own."""
     if isinstance(kind, Opt):
@@ -373,12 +382,7 @@ def decode(kind: Kind, value: Any) -> Any:
     if isinstance(kind, Map):
         return {decode(kind.key, k): decode(kind.value, v) for k, v in value.items()}
     if isinstance(kind, Product):
-        parts = [decode(k, value[i]) for i, (_, k) in enumerate(kind.fields)]
-        if dataclasses.is_dataclass(kind.cls):
-            return kind.cls(*parts)
-        if kind.cls is tuple or (kind.fields and kind.fields[0][0] == "_1"):
-            return tuple(parts)
-        return kind.cls() if kind.cls else dict(zip(kind.names, parts, strict=True))
+        return assemble(kind, [decode(k, value[i]) for i, (_, k) in enumerate(kind.fields)])
     if isinstance(kind, Sum):
         variant = dict(kind.variants).get(value["discriminant"])
         require(variant is not None, f"no variant {value['discriminant']!r} of {kind}")

@@ -134,6 +134,14 @@ def test_unpivot(spark):
         io.unpivot(spark.sql("select 1 a, cast(null as string) b"), kind).collect()
 
 
+def test_unpivoted_files(spark, tmp_path):
+    spark.sql("select 1 a, 'x' b, 'y' c").write.parquet(str(tmp_path / "wide"))
+    kind = product(a=INT, column=STRING, value=STRING)
+    assert PathSource(str(tmp_path / "wide"), unpivot=True).dataset(spark, kind).values().count().collect_value() == 2
+    (one, _) = sorted(PathSource(str(tmp_path / "wide"), unpivot=True).dataset(spark, kind).with_file_metadata().collect(), key=repr)
+    assert one[0]["file_path"].endswith(".parquet") and one[1] == {"a": 1, "column": "b", "value": "x"}
+
+
 def test_checkpoint_and_streams(spark, tmp_path):
     ds = Dataset.of_rows(spark, M, [M(1), M(2)])
     assert sorted(m.m for m in checkpoint(ds, str(tmp_path / "c")).collect()) == [1, 2]
