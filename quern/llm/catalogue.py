@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import oracles
 from quern.llm.cap_filters import link_vectors
 from quern.llm.encoding import encode_documents
 from quern.llm.language_model import score_documents
@@ -52,7 +53,8 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_read(spark, sf_dir, "documents"))
+    found = judge(_read(spark, sf_dir, "documents"))
+    return found.drop("class_distance", "word_distance")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_cap_filters": oracles.CAP_FILTERS, "op6_quality_rules": oracles.QUALITY_RULES}
