@@ -17,6 +17,17 @@ from quern.session import ship
 SLICE_BYTES = 8 << 20
 
 
+_written: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this driver has written; results that still depend on them can't be read after."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir. Only a local master may lack that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,7 +35,8 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    _written.append(f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -150,3 +150,15 @@ def test_vector_edge_cases(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False)} | {k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10)}
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert len(link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()) == 1
+
+
+def test_scratch_is_cleared(spark):
+    from quern.llm import runtime
+
+    df = runtime.materialise(spark.range(3))
+    assert df.count() == 3 and runtime._written
+    folder = runtime._written[-1].removeprefix("file://")
+    runtime.clear_scratch(spark)
+    import os
+
+    assert not os.path.exists(folder) and not runtime._written
