@@ -35,6 +35,7 @@ from quern.types import (
     Enum,
     Kind,
     Map,
+    NoField,
     Opt,
     Product,
     Seq,
@@ -111,7 +112,7 @@ class E:
             raise AttributeError(name)
         if isinstance(self.kind, Product) and name in self.kind.names:
             return self[name]
-        raise TypeProblem(f"no field or method {name!r} on {self.kind}")
+        raise NoField(f"no field or method {name!r} on {self.kind}")
 
     def _like(self, kind: Kind, col: Column, *others: E) -> E:
         return E(kind, col, agg=self.agg or any(o.agg for o in others))

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions.expr import E, coalesce, kind_from_spark, named, tuple_
 from quern.session import ship
-from quern.types import BOOL, LONG, Kind, Map, Opt, Product, Seq, TypeProblem, decode, encode, groupable, is_opt, kind_of, nullable, orderable, require, schema, spark_type
+from quern.types import BOOL, LONG, Kind, Map, Opt, Product, Seq, decode, encode, groupable, is_opt, kind_of, nullable, orderable, require, schema
 
 _numbers = itertools.count()
 
@@ -456,4 +456,4 @@ def _plain(kind: Kind, value: Any) -> Any:
     return value
 
 
-__all__ = ["Dataset", "Explode", "Single", "TypeProblem", "explode", "placed", "spark_type"]
+__all__ = ["Dataset", "Explode", "Single", "explode", "placed", "tuple_kind"]

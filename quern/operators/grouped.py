@@ -36,7 +36,7 @@ class GroupedDataset:
         made = [(("", n, *path), c, _fresh()) for n, e in out.items() for path, _, c in e.leaves()]
         by = [c.alias(name) for _, c, name in keys] or [F.lit(1).alias(_fresh())]  # without keys still no row from no rows
         if salt:
-            by = [*by, F.pmod(F.spark_partition_id() * 7 + F.floor(F.rand(17) * 7), F.lit(_PARTS)).cast("int").alias(_fresh())]
+            by = [*by, F.pmod(F.spark_partition_id(), F.lit(_PARTS)).alias(_fresh())]
         frame = self.source.frame.groupBy(*by).agg(*(c.alias(name) for _, c, name in made))
         at = {path: name for path, _, name in [*keys, *made]}
         key = self.key.rebuilt(lambda p: F.col(at[p]))

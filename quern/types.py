@@ -24,6 +24,10 @@ class TypeProblem(TypeError):
     """A model, expression or operator that its types don't allow; raised while a plan is built."""
 
 
+class NoField(TypeProblem, AttributeError):
+    """A field or method that a kind doesn't have."""
+
+
 @dataclass(frozen=True)
 class Kind:
     """What an expression holds."""
