@@ -18,8 +18,11 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au"],
 }
-#: Regular-expression classes of characters; what fits none is the last class.
-_CLASSES = ["a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:'\"()?!\-", r"#*$%&|<>@~^_=+/\\\[\]{}"]
+#: Regular-expression classes of characters besides a-z and white space; what fits none is the last class.
+_CLASSES = ["A-Z", "0-9", r".,;:'\"()?!\-", r"#*$%&|<>@~^_=+/\\\[\]{}"]
+_HISTOGRAM = len(_CLASSES) + 3
+#: Distinct repeated windows up to which membership is tested one by one.
+_FEW = 64
 #: Words of a text below which only the base rules decide.
 LEAST_WORDS = 100
 
@@ -30,20 +33,33 @@ def _once(value: Column, use) -> Column:
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
-    """Words in 3-word windows that occur at least twice: windows by hash, neighbours after sorting compared by their words too."""
+    """Words in 3-word windows that occur at least twice; windows are compared by 64-bit hashes within the text."""
     grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
-    def covered(s: Column) -> Column:
-        g = lambda k: F.get(s, k)["g"]
-        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: ((k > 0) & (g(k) == g(k - 1))) | ((k < F.size(s) - 1) & (g(k) == g(k + 1))))
-        at = F.transform(twice, lambda k: F.get(s, k)["p"])
+    def covered(at: Column) -> Column:
         return F.size(F.array_distinct(F.concat(at, F.transform(at, lambda p: p + 1), F.transform(at, lambda p: p + 2))))
 
-    def count(g: Column) -> Column:
-        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(_once(placed, covered))
+    def by_membership(g: Column, twice: Column) -> Column:
+        return F.array_compact(F.transform(g, lambda x, i: F.when(F.array_contains(twice, x), i)))
 
-    return F.when(n < 3, 0).otherwise(_once(grams, count))
+    def by_order(g: Column) -> Column:
+        def neighbours(s: Column) -> Column:
+            of = lambda k: F.get(s, k)["g"]
+            both = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: ((k > 0) & (of(k) == of(k - 1))) | ((k < F.size(s) - 1) & (of(k) == of(k + 1))))
+            return F.transform(both, lambda k: F.get(s, k)["p"])
+
+        return _once(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("p")))), neighbours)
+
+    def repeated(g: Column) -> Column:
+        twice = _once(F.sort_array(g), lambda s: F.array_distinct(F.array_compact(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x == y, x)))))
+        return _once(twice, lambda t: _once(F.when(F.size(t) <= _FEW, by_membership(g, t)).otherwise(by_order(g)), covered))
+
+    return F.when(n < 3, 0).otherwise(_once(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(repeated(g))))
+
+
+def _counted(joined: Column, word: Column) -> Column:
+    """How often a word stands in words that are joined by two blanks and have one at each end."""
+    return ((F.length(joined) - F.length(F.replace(joined, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))) / (F.length(word) + 2)).cast("int")
 
 
 def _language(lang: Column) -> Column:
@@ -55,28 +71,33 @@ def measure(docs: DataFrame, carry: bool = False, id_column: str = "doc_id", tex
     own = ["row"] if carry else []
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), _language(docs[lang_column].cast("string")).alias("lang"), text.alias("text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []))
-    rows = rows.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    rows = rows.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     listed = F.lit(None).cast("array<string>")
     for lang, common in COMMON_WORDS.items():
         listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(listed)
     size = len(COMMON_WORDS["en"])
     rows = rows.withColumn("n", F.size("words")).withColumn("listed", listed)
-    places = F.filter(F.transform("words", lambda w: F.array_position(F.col("listed"), w)), lambda p: p > 0)
-    counted = [F.length(F.regexp_replace("text", f"[^{c}]+", "")) for c in _CLASSES]
+    joined = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))
+    rows = rows.withColumn("rest", F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")).withColumn("joined", F.when(F.col("listed").isNotNull(), joined))
+    kept = lambda c: F.length(F.regexp_replace("rest", f"[^{c}]+", ""))
     rows = rows.select(
         *own,
         "doc_id",
         "lang",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        kept("#*$%&|<>").cast("long").alias("n_symbols"),
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words"), F.col("n")).cast("long").alias("n_repeat_words"),
         F.length("text").alias("chars"),
-        F.array(*counted).alias("classes"),
-        F.when(F.col("listed").isNotNull(), _once(places, lambda p: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.size(F.filter(p, lambda x: x == k))))).alias("common"),
+        F.length("rest").alias("others"),
+        F.array(*map(kept, _CLASSES)).alias("kinds"),
+        F.when(F.col("listed").isNotNull(), F.array(*(_counted(F.col("joined"), F.get("listed", F.lit(k))) for k in range(size)))).alias("common"),
     )
+    blank = F.col("chars") - F.col("word_chars").cast("int")
+    rows = rows.withColumn("classes", F.concat(F.array(F.col("chars") - F.col("others") - blank, blank), F.col("kinds")))
     share = lambda counts, total: F.transform(F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0), lambda a, x: a + x))), lambda x: x / total)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return rows.select(
@@ -91,7 +112,7 @@ def references(measured: DataFrame) -> DataFrame:
     """Mean histograms of each language (at most one row for each key of COMMON_WORDS)."""
     mean = lambda c, size: F.array(*(F.avg(F.get(c, F.lit(k))) for k in range(size)))
     sound = measured.where(~F.col("base_failed") & F.col("lang").isNotNull() & (F.col("n_words") >= LEAST_WORDS))
-    return sound.groupBy("lang").agg(mean("classes", len(_CLASSES) + 1).alias("classes_reference"), mean("common", len(COMMON_WORDS["en"]) + 1).alias("common_reference"))
+    return sound.groupBy("lang").agg(mean("classes", _HISTOGRAM).alias("classes_reference"), mean("common", len(COMMON_WORDS["en"]) + 1).alias("common_reference"))
 
 
 def distance(p: Column, q: Column) -> Column:
