@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.graph import components
 from quern.llm.runtime import arrow_map, materialise
-from quern.llm.shingles import BITS, SKETCH, Shingles, few, frequencies, idf, shingles
+from quern.llm.shingles import BITS, SHINGLE_BYTES, SKETCH, Shingles, few, frequencies, idf, shingles
 
 #: Entries of the pool that the sampler's random numbers are drawn from.
 _POOL = 1 << 16
@@ -76,8 +76,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, idfs, threshold: float, width: in
     near = near.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches, "text_a"):
-            for piece in few(iter([batch]), "text_b"):
+        for batch in few(batches, "text_a", SHINGLE_BYTES):
+            for piece in few(iter([batch]), "text_b", SHINGLE_BYTES):
                 score = similarity(shingles(piece.column("text_a"), width), shingles(piece.column("text_b"), width), idfs.value)
                 good = pa.array(score >= threshold)
                 yield pa.RecordBatch.from_arrays([piece.column(c).filter(good) for c in ("a", "b")] + [pa.array(score).filter(good)], names=["a", "b", "similarity"])
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     sampler = Sampler(bands * rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches):
+        for batch in few(batches, limit=SHINGLE_BYTES):
             sets = shingles(batch.column("text"), width)
             full = np.flatnonzero(np.diff(sets.docs) > 0)
             keys = np.zeros((len(full), bands), np.uint64)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.runtime import arrow_map, ship, slices
+from quern.llm.runtime import SLICE_BYTES, arrow_map, ship, slices
 from quern.llm.words import split_words
 
 #: Bits of a shingle's hash. The document number takes the others while a batch is sorted.
@@ -17,6 +17,8 @@ BITS = 50
 _MASK = np.uint64((1 << BITS) - 1)
 #: Documents handled at once, as the document number has 14 bits.
 _MOST = 1 << 13
+#: Text bytes shingled at once; their hashes, samples and sorts take several times as much.
+SHINGLE_BYTES = 4 << 20
 #: Counters of the sketch, in blocks that are summed apart.
 SKETCH, _BLOCK = 1 << 20, 1 << 14
 
@@ -59,9 +61,9 @@ def shingles(texts: pa.Array, width: int = 5) -> Shingles:
     return Shingles(doc, keys & _MASK, tf, np.searchsorted(doc, np.arange(len(sizes) + 1)))
 
 
-def few(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def few(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices by bytes that also have few enough rows for one sort."""
-    for batch in slices(batches, column):
+    for batch in slices(batches, column, limit):
         for at in range(0, batch.num_rows, _MOST):
             yield batch.slice(at, _MOST)
 
@@ -75,7 +77,7 @@ def frequencies(docs: DataFrame, width: int = 5) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(SKETCH, np.int64), 0
-        for batch in few(batches):
+        for batch in few(batches, limit=SHINGLE_BYTES):
             counts += np.bincount((shingles(batch.column("text"), width).hash & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             rows += batch.num_rows
         blocks = range(SKETCH // _BLOCK if rows else 0)
