@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.cap_filters import _roots
 from quern.llm.graph import components
-from quern.llm.runtime import arrow_map, materialise
+from quern.llm.runtime import arrow_map, materialise, ship
 from quern.llm.shingles import BITS, SHINGLE_BYTES, SKETCH, Shingles, few, frequencies, idf, shingles
 
 #: Entries of the pool that the sampler's random numbers are drawn from.
 _POOL = 1 << 16
-#: Buckets up to this size have all their pairs verified; larger ones are compared with representatives.
+#: Buckets up to this size have all their pairs verified one by one; larger ones are compared with representatives first.
 _SMALL = 16
 _SALTS = 4
+#: Texts in each side of a block of a large bucket, on average.
+_SIDE = 128
 
 
 class Sampler:
@@ -85,6 +88,59 @@ def _verify(docs: DataFrame, pairs: DataFrame, idfs, threshold: float, width: in
     return arrow_map(near, run, "a long, b long, similarity double")
 
 
+def _similarities(left: Shingles, right: Shingles, idfs: np.ndarray) -> np.ndarray:
+    """`similarity` of every left document with every right one."""
+    n, m = len(left.docs) - 1, len(right.docs) - 1
+    names, at = np.unique(np.concatenate([left.hash, right.hash]), return_inverse=True)
+    mine, other = at[: len(left.hash)], at[len(left.hash) :]
+    best = np.zeros((n, m))
+    for a, b in ((weigh(left, idfs), weigh(right, idfs)), (np.ones(len(left.tf)), np.ones(len(right.tf)))):
+        sums, totals = np.bincount(left.doc, a, n), np.bincount(right.doc, b, m)
+        held = np.zeros(len(names))
+        for k in range(n):
+            own = slice(left.docs[k], left.docs[k + 1])
+            held[mine[own]] = a[own]
+            common = np.bincount(right.doc, np.minimum(held[other], b), m)
+            held[mine[own]] = 0
+            total = sums[k] + totals - common
+            best[k] = np.maximum(best[k], np.divide(common, total, out=np.zeros(m), where=total > 0))
+    return best
+
+
+def _block_links(docs: DataFrame, labelled: DataFrame, idfs, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) that join what similar pairs join, over all pairs of a bucket whose texts are in different classes.
+
+    A bucket's strays are the texts outside its commonest class. Strays and the others are cut into sides by hash, and
+    each pair of sides with strays in one of them is a block, so a bucket of one class costs nothing.
+    """
+    bucket = ["band", "key"]
+    classes = labelled.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = materialise(classes.groupBy(*bucket).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes"))
+    members = materialise(labelled.join(mains, bucket).select(*bucket, "doc_id", (F.col("component") != F.col("main")).alias("stray")))
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = materialise(members.join(texts, "doc_id"))
+    sides = lambda chosen: F.ceil(F.greatest(F.sum(F.when(chosen, 1).otherwise(0)) / _SIDE, F.sum(F.when(chosen, F.octet_length("text")).otherwise(0)) / SHINGLE_BYTES)).cast("int")
+    cuts = materialise(members.groupBy(*bucket).agg(sides(F.col("stray")).alias("strays"), sides(~F.col("stray")).alias("others")))
+    hashed = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    rows = members.join(cuts, bucket).withColumn("side", F.when(F.col("stray"), hashed("strays")).otherwise(F.col("strays") + hashed("others")))
+    last = F.when(F.col("stray"), F.col("strays") + F.col("others")).otherwise(F.col("strays")) - 1
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select(*bucket, "doc_id", "text", "side", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        side, low, high = (table[c].to_numpy() for c in ("side", "low", "high"))
+        name, text = table["doc_id"].to_numpy(), table["text"].combine_chunks()
+        i, j = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        sets = [shingles(text.take(pa.array(k)), width) for k in ((i,) if low[0] == high[0] else (i, j))]
+        linked = _similarities(sets[0], sets[-1], idfs.value) >= threshold
+        left, right = _roots(linked, name[i], name[j])
+        a, b = np.concatenate([name[i], name[j]]), np.concatenate([left, right])
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    ship(docs.sparkSession)
+    return rows.groupBy(*bucket, "low", "high").applyInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 10, rows: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id that links lead to, itself included), kept (doc_id = class_id), one row per row of `docs`.
 
@@ -93,7 +149,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     banded (`bands` keys of `rows` samples), so a pair at similarity s is a candidate with probability
     1 - (1 - s^rows)^bands. All pairs of a bucket of up to 16 texts are verified. Of a larger one, every text is verified
     with the bucket's most central text (the one that shares most buckets), then texts still in another class with the
-    most central of each of 4 salts.
+    most central of each of 4 salts, and then all pairs whose texts are still in different classes, in blocks that return
+    block-wise roots, never pairs. So every pair of a bucket is compared or already in one class.
 
     Null and empty texts and texts without words are classes of their own. A row with a null id takes part in nothing and
     has a null class. Repeated rows share a class. Other columns are not read. An empty table gives an empty result.
@@ -147,8 +204,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         led = labelled.join(leaders, ["band", "key"]).where(F.col("component") != F.col("leader.component"))
         led = led.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
         more = materialise(_verify(docs, materialise(led.join(pairs, ["a", "b"], "left_anti")), idfs, threshold, width))
-        if not more.isEmpty():
-            classes = components(links.unionAll(more))
+        links = links.unionAll(more).select("a", "b")
+        classes = components(links)
+        labelled = materialise(large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        rest = materialise(_block_links(docs, labelled, idfs, threshold, width))
+        if not rest.isEmpty():
+            classes = components(links.unionAll(rest))
 
     reached = known.select("doc_id", "first").join(classes.select(F.col("node").alias("first"), "component"), "first", "left")
     found = reached.select("doc_id", F.coalesce("component", "first").alias("class_id"))

@@ -100,6 +100,24 @@ def test_texts_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_large_buckets_have_all_pairs_compared(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(200)], []
+    for _ in range(300):
+        copy = list(base)
+        for k in rng.sample(range(200), 3):
+            copy[k] = rng.choice(words)
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    idfs = idf(frequencies(df))
+    links = [(a, int(b)) for a in range(1, 300) for b in np.flatnonzero(similarity(shingles(pa.array([texts[a]] * a)), shingles(pa.array(texts[:a])), idfs) >= 0.8)]
+    want = closure(300, links)
+    assert all(want[k] == want[c] for k, c in got.items())
+    assert len(set(got.values())) <= len(set(want)) + 2
+
+
 def test_texts_edge_cases(spark, edge):
     got = near_duplicates(edge).collect()
     assert len(got) == edge.count()
