@@ -1,8 +1,8 @@
 """Personal data in whole texts, with DataFrame functions only.
 
-Base spans come from fixed patterns with checks. Around them a bootstrapped contextual extraction runs: base spans seed
-identifier-like tokens, the words before a token are its lexical pattern, and pattern and token scores are computed in
-turns over the pattern-instance graph. Tokens in patterns of high confidence become spans of the kind "id".
+Base spans come from fixed patterns with checks. Around them a bootstrapped contextual extraction runs: base spans are
+the seeds, the words before a seed or an identifier-like token are its lexical pattern, and pattern and instance scores
+are computed in turns over the pattern-instance graph. Tokens in patterns of high confidence become spans of the kind "id".
 """
 
 from __future__ import annotations
@@ -77,39 +77,47 @@ def _base(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(k, kind) for k, kind in enumerate(_PATTERNS))))
 
 
-def _candidates(text: Column) -> Column:
-    """Identifier-like tokens with their lexical pattern: the two words before, in lower case, digits as 0."""
+def _candidates(text: Column, base: Column) -> Column:
+    """Base spans (seeds) and the identifier-like tokens that overlap none, with their lexical pattern: the two words before
+    that hold a letter or digit, in lower case, digits as 0."""
 
     def context(start: Column) -> Column:
-        before = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-        words = F.regexp_extract(before, r"(?:(?:^|\s)(\S+)\s+)?(\S+)\s*$", 0)
-        return F.regexp_replace(F.trim(F.lower(words)), "[0-9]+", "0")
+        before = F.substring(text, F.greatest(start - 99, F.lit(1)), F.least(start, F.lit(100)))
+        words = F.regexp_extract_all(F.lower(before), F.lit(r"[^\s\p{L}\p{N}]*+[\p{L}\p{N}]\S*+"), F.lit(0))
+        return F.regexp_replace(_once(words, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " ")), "[0-9]+", "0")
 
-    placed = _placed(text, _TOKEN)
-    return F.when(text.rlike("[0-9]"), F.transform(placed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["match"]).alias("value"), context(s["start"]).alias("context"))))
+    def candidate(start: Column, end: Column, value: Column, seed: bool) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.xxhash64(value).alias("value"), context(start).alias("context"), F.lit(seed).alias("seed"))
+
+    seeds = F.transform(base, lambda s: candidate(s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), True))
+    unseen = F.filter(_placed(text, _TOKEN), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    unseen = F.when(text.rlike("[0-9]"), F.transform(unseen, lambda t: candidate(t["start"], t["end"], t["match"], False)))
+    return F.concat(seeds, F.coalesce(unseen, F.slice(seeds, 1, 0)))
 
 
 def _learn(tokens: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """Contexts of high confidence, by turns: a pattern's confidence is the mean of its instances' scores, smoothed; an
-    unseen instance's score is that of the best pattern it occurs in; seeds keep score 1."""
+    unseen instance's score is that of the best supported pattern it occurs in; seeds keep score 1. A pattern is supported
+    by its seeds and by the instances that the turn before accepted, as their score reached `confidence`."""
     edges = materialise(tokens.where("context != ''").groupBy("context", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")))
     seeds = materialise(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score")))
     scores = seeds
     for turn in range(rounds):
-        told = edges.join(scores, "value").groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+        backing = F.sum((F.col("score") >= confidence).cast("long"))
+        told = edges.join(scores, "value").groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), backing.alias("backing"))
         patterns = materialise(told)
         if turn == rounds - 1:
             break
-        heard = edges.join(patterns.where(F.col("seeds") >= support), "context").groupBy("value").agg(F.max("confidence").alias("best"))
+        heard = edges.join(patterns.where(F.col("backing") >= support), "context").groupBy("value").agg(F.max("confidence").alias("best"))
         scores = materialise(seeds.join(heard, "value", "left").select("value", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")))
-    return materialise(patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("context"))
+    return materialise(patterns.where((F.col("confidence") >= confidence) & (F.col("backing") >= support)).select("context"))
 
 
 def extract(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 4, carry: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, base and found: arrays of (start, kind, end), kind as the place in KINDS, code points, end exclusive; `carry` adds the row's own columns as the struct `row`.
 
     base holds emails, ip addresses, cards and phones by the fixed patterns; found adds tokens that follow a pattern with
-    at least `support` distinct seeds and a confidence of at least `confidence`, where they overlap no base span. Null and
+    at least `support` distinct seeds or accepted instances and a confidence of at least `confidence`, where they overlap no base span. Null and
     empty texts have no spans. Null ids and repeated rows are handled like any others, as rows get numbers of their own.
     An empty table gives an empty result. The texts are scanned once; the result of the scan is written to the shared
     folder and everything after works on it.
@@ -117,16 +125,15 @@ def extract(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     own = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     scanned = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[id_column].cast("long").alias("doc_id"), text.alias("text"), *own)
-    scanned = materialise(scanned.select("row_id", "doc_id", *(["row"] if carry else []), _base(F.col("text")).alias("base"), _candidates(F.col("text")).alias("tokens")))
-    token = scanned.select("row_id", "base", F.explode("tokens").alias("t"))
-    overlaps = F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    tokens = materialise(token.select("row_id", F.col("t.start"), F.col("t.end"), F.col("t.value"), F.col("t.context"), overlaps.alias("seed")))
+    scan = _once(_base(F.col("text")), lambda base: F.struct(base.alias("base"), _candidates(F.col("text"), base).alias("tokens")))
+    scanned = materialise(scanned.select("row_id", "doc_id", *(["row"] if carry else []), scan.alias("scan")))
+    tokens = materialise(scanned.select("row_id", F.explode("scan.tokens").alias("t")).select("row_id", "t.*"))
     good = _learn(tokens, rounds, confidence, support)
     found = tokens.where(~F.col("seed")).join(good, "context", "left_semi")
     span = F.struct(F.col("start"), F.lit(KINDS.index("id")).alias("kind"), F.col("end"))
     found = found.groupBy("row_id").agg(F.sort_array(F.collect_list(span)).cast(_SPAN).alias("found"))
     out = scanned.join(found, "row_id", "left")
-    return out.select("doc_id", "base", F.coalesce("found", F.array().cast(_SPAN)).alias("found"), *(["row"] if carry else []))
+    return out.select("doc_id", F.col("scan.base").alias("base"), F.coalesce("found", F.array().cast(_SPAN)).alias("found"), *(["row"] if carry else []))
 
 
 def said(spans: Column) -> Column:

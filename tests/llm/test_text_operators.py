@@ -86,6 +86,15 @@ def test_patterns_find_unseen_identifiers(spark):
     assert texts[6][28:38] == "99X7712-AB"
 
 
+def test_whole_entities_seed_patterns_and_accepted_tokens_support_others(spark):
+    texts = [f'you can mail user = " name{n}@site.org today' for n in range(40)]
+    texts += [f'see mail user = " tok{k}77-XY here and then badge code: tok{k}77-XY here' for k in range(8)]
+    texts += ["the badge code: new5511-Q here", "an order number 12345678 alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.found] for r in extract(df, rounds=3, support=4, confidence=0.6).collect()}
+    assert [found[k] for k in range(len(texts))] == [[]] * 40 + [[f"tok{k}77-XY"] * 2 for k in range(8)] + [["new5511-Q"], []]
+
+
 def test_redaction(spark):
     texts = ["mail a@b.co now", "", "+1 (974) 555-3436 and 4111 1111 1111 1111", "none"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
