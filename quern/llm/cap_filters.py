@@ -19,6 +19,8 @@ BUCKET, SIDE, SHARD = 512, 1024, 8192
 #: Independent product codes that a vector's filters come from: the more, the less the number of filters varies.
 REPEATS = 8
 _BLOCK_CODES = 4096
+#: Bits of a filter's number; the place of the vectors' length among all lengths has those above.
+_FILTER_BITS = 40
 
 
 @dataclass
@@ -104,7 +106,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
     The number of filters grows with the vectors, so an ordinary bucket stays near BUCKET of them. A pair at cosine 0.9
     shares one of 24 expected filters with a probability of about 0.998, one at 0.95 of over 0.999.
 
-    Vectors that are null, zero, not of the commonest length, or hold null or non-finite components link with nothing.
+    Only vectors of one length are compared; each length has codes of its own, or, with at most SIDE vectors, one bucket
+    of all. Vectors that are null, zero, or hold null or non-finite components link with nothing.
     Rows with the same vec_id count as one vector (any one of them); rows with a null id are left out. Other columns are
     not read. An empty table gives an empty result.
     """
@@ -112,27 +115,33 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
     kind = vectors.schema[vector_column].dataType.simpleString()
     sound = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)"
     ids = materialise(ids.select("vec_id", F.when(F.expr(sound), F.col("v")).alias("v")))
-    lengths = ids.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    lengths = ids.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # one row for each length
     alone = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not lengths:
         return alone
-    dimension, n = lengths[0]
-    codes = [ProductCode.fit(dimension, n, filters_each / REPEATS, seed) for seed in range(REPEATS)]
-    code = ids.sparkSession.sparkContext.broadcast(codes)  # at most 3 x 4,096 codewords each
+    place = {d: k for k, (d, _) in enumerate(lengths)}
+    codes = {d: [ProductCode.fit(d, n, filters_each / REPEATS, seed) for seed in range(REPEATS)] for d, n in lengths if n > SIDE}
+    code = ids.sparkSession.sparkContext.broadcast(codes)  # for each common length at most 3 x 4,096 codewords each
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                unit = _unit(_matrix(part.column("v"), dimension))
-                decoded = [(row, found * REPEATS + r) for r, c in enumerate(code.value) for row, found in [c.decode(unit)]]
-                row, found = (np.concatenate(x) for x in zip(*decoded, strict=True))
-                order = np.argsort(row, kind="stable")
-                row, found = row[order], found[order]
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found))], names=["vec_id", "v", "filters"])
-
-    decoded = materialise(arrow_map(ids.where((F.size("v") == dimension)), decode, f"vec_id long, v {kind}, filters array<long>"))
+            sizes = batch.column("v").value_lengths().to_numpy()
+            for d in np.unique(sizes).tolist():
+                own = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                for k in range(0, own.num_rows, 512):
+                    part = own.slice(k, 512)
+                    if d in code.value:
+                        unit = _unit(_matrix(part.column("v"), d))
+                        decoded = [(row, found * REPEATS + r) for r, c in enumerate(code.value[d]) for row, found in [c.decode(unit)]]
+                        row, found = (np.concatenate(x) for x in zip(*decoded, strict=True))
+                    else:
+                        row, found = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+                    order = np.argsort(row, kind="stable")
+                    row, found = row[order], found[order] + (place[d] << _FILTER_BITS)
+                    cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found))], names=["vec_id", "v", "filters"])
+
+    decoded = materialise(arrow_map(ids.join(F.broadcast(ids.sparkSession.createDataFrame([(d,) for d, _ in lengths], "d int")), F.size("v") == F.col("d"), "left_semi"), decode, f"vec_id long, v {kind}, filters array<long>"))
     met = decoded.select("vec_id", F.explode("filters").alias("filter"))
     sizes = materialise(met.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / SIDE).cast("int").alias("sides")))
     shared = met.join(sizes, "filter").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("filter", "sides"))).alias("shared"))
@@ -145,7 +154,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("filter", "ascending"), ("low", "ascending"), ("high", "ascending"), ("side", "ascending"), ("vec_id", "ascending")])
-        name, unit = table["vec_id"].to_numpy(), _unit(_matrix(table["v"].combine_chunks(), dimension))
+        name, vectors = table["vec_id"].to_numpy(), table["v"].combine_chunks()
         own, low, high, side = (table[c].to_numpy() for c in ("filter", "low", "high", "side"))
         lists = table["filters"].combine_chunks()
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -155,7 +164,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
             same = low[a] == high[a]
             middle = a if same else a + int(np.searchsorted(side[a:b], high[a]))
             i, j = (np.arange(a, b),) * 2 if same else (np.arange(a, middle), np.arange(middle, b))
-            linked = unit[i] @ unit[j].T >= threshold
+            unit = _unit(_matrix(vectors.slice(a, b - a), lengths[own[a] >> _FILTER_BITS][0]))
+            linked = unit[i - a] @ unit[j - a].T >= threshold
             if same:
                 np.fill_diagonal(linked, False)
             i, j, linked = i[linked.any(axis=1)], j[linked.any(axis=0)], linked[linked.any(axis=1)][:, linked.any(axis=0)]

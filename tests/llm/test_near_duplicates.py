@@ -162,6 +162,22 @@ def test_large_buckets_are_cut_into_sides(spark, monkeypatch):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(120, 220))
 
 
+def test_vectors_of_every_length_are_linked(spark, monkeypatch):
+    from quern.llm import cap_filters
+
+    monkeypatch.setattr(cap_filters, "SIDE", 32)
+    rng = np.random.default_rng(9)
+    rows = []
+    for d, n in ((16, 60), (24, 40), (5, 10)):  # each vector twice
+        x = rng.normal(size=(n // 2, d))
+        rows += [v.tolist() for v in x for _ in range(2)]
+    got = {r.vec_id: r for r in link_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)).collect()}
+    units = [np.array(v) / np.linalg.norm(v) for v in rows]
+    links = [(a, b) for a in range(110) for b in range(110) if a != b and len(rows[a]) == len(rows[b]) and units[a] @ units[b] >= 0.9]
+    assert [got[k].component_id for k in range(110)] == closure(110, links)
+    assert all(got[k].n_links >= 1 for k in range(110))
+
+
 def test_vector_edge_cases(spark):
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [float("inf"), 1.0]), (2, [2.0, 4.0]), (None, [1.0, 2.0]), (10, [-1.0, -2.0])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, filter int, v string")).collect()}
