@@ -1,34 +1,81 @@
-"""Elias-Fano sequences in memory-mapped files, and an n-gram trie made of them."""
+"""Elias-Fano sequences in compact memory-mapped levels, and an n-gram trie made of them."""
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 import numpy as np
 
-
-def _packed(path: str, data: np.ndarray) -> np.ndarray:
-    """Write an array and map it; an empty one needs no file."""
-    if not data.size:
-        return data
-    data.tofile(path)
-    return np.memmap(path, data.dtype, "r")
+_BLOCK = 512
+#: Places looked up at once; bounds what a query gathers.
+_STEP = 1 << 16
+
+
+class LevelFile:
+    """The file that all levels of a trie are written to and mapped from. It has no name, so it goes with its last mapping, also if the task dies."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile()
+
+    def put(self, data: np.ndarray) -> np.ndarray:
+        """Append an array and map it; an empty one needs no file."""
+        if not data.size:
+            return data
+        at = -(-self.file.seek(0, 2) // 64) * 64
+        self.file.seek(at)
+        self.file.write(np.ascontiguousarray(data).data)
+        self.file.flush()
+        return np.memmap(self.file, data.dtype, "r", at, data.shape)
+
+
+class Bits:
+    """A bit vector with select of ones and zeros; all it holds besides is the number of ones before each block of 512 bits."""
+
+    def __init__(self, ones: np.ndarray, size: int, file: LevelFile):
+        bits = np.zeros(-(-max(1, size) // _BLOCK) * _BLOCK, np.bool_)
+        bits[ones] = True
+        bits[size:] = False
+        words = np.packbits(bits, bitorder="little").view("<u8").reshape(-1, 8)
+        self.words = file.put(words)
+        self.before = file.put(np.concatenate([[0], np.cumsum(np.bitwise_count(words).sum(axis=1))]).astype(np.int64))
+
+    def select(self, k: np.ndarray, bit: int = 1) -> np.ndarray:
+        """The position of the k-th one (or zero), counted from 0; it must be there."""
+        before = np.asarray(self.before) if bit else np.arange(len(self.before)) * _BLOCK - self.before
+        out = np.empty(len(k), np.int64)
+        for at in range(0, len(k), _STEP):
+            want = k[at : at + _STEP]
+            block = np.searchsorted(before, want, side="right") - 1
+            rest = want - before[block]
+            words = self.words[block] if bit else ~self.words[block]
+            ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+            inside = (ends <= rest[:, None]).sum(axis=1)
+            row = np.arange(len(want))
+            rest -= np.where(inside > 0, ends[row, inside - 1], 0)
+            word, place = words[row, inside], np.zeros(len(want), np.int64)
+            for half in (32, 16, 8, 4, 2, 1):
+                low = word & np.uint64((1 << half) - 1)
+                count = np.bitwise_count(low)
+                over = rest >= count
+                rest -= np.where(over, count, 0)
+                word = np.where(over, word >> np.uint64(half), low)
+                place += np.where(over, half, 0)
+            out[at : at + _STEP] = block * _BLOCK + inside * 64 + place
+        return out
 
 
 class EliasFano:
     """A sorted sequence of unsigned numbers: low bits packed, high bits as the gaps between the ones of a bit vector."""
 
-    def __init__(self, values: np.ndarray, universe: int, path: str):
+    def __init__(self, values: np.ndarray, universe: int, file: LevelFile):
+        """universe: no value is larger."""
         self.n = len(values)
         self.low_bits = max(0, int(universe // max(1, self.n)).bit_length() - 1)
-        low = values & np.uint64((1 << self.low_bits) - 1)
-        self.low = _packed(f"{path}.low", self._pack(low))
+        self.mask = np.uint64((1 << self.low_bits) - 1)
+        self.low = file.put(self._pack(values & self.mask))
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         self.buckets = int(universe >> self.low_bits) + 1
-        ones = np.zeros(self.n + self.buckets + 1, np.uint8)
-        ones[high + np.arange(self.n)] = 1
-        self.high = _packed(f"{path}.high", np.packbits(ones, bitorder="little"))
-        self._starts: np.ndarray | None = None
+        self.high = Bits(high + np.arange(self.n), self.n + self.buckets, file)
 
     def _pack(self, low: np.ndarray) -> np.ndarray:
         bits = self.low_bits
@@ -48,74 +95,91 @@ class EliasFano:
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
         first = self.low[word] >> shift
         rest = (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
-        return (first | rest) & np.uint64((1 << self.low_bits) - 1)
-
-    def starts(self) -> np.ndarray:
-        """For each value of the high bits the place of the first element that has it or more, from the mapped gaps."""
-        if self._starts is None:
-            zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little")[: self.n + self.buckets + 1] == 0)
-            self._starts = np.concatenate([[0], zeros[: self.buckets] - np.arange(min(self.buckets, len(zeros)))]).astype(np.int64)
-        return self._starts
-
-    def values(self) -> np.ndarray:
-        """The whole sequence."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) if self.n else np.zeros(0, np.int64)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.arange(self.n))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1: a successor search among the elements with its high bits."""
-        if not self.n:
-            return np.full(len(keys), -1, np.int64)
-        starts = self.starts()
+        return (first | rest) & self.mask
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at places of the sequence."""
+        high = self.high.select(at) - at
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
+    def find(self, keys: np.ndarray, start: np.ndarray | int = 0, stop: np.ndarray | None = None) -> np.ndarray:
+        """The place of each key among the places start..stop-1, or -1: a successor search from the gap of the key's high bits."""
+        found = np.full(len(keys), -1, np.int64)
         high = (keys >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = high < self.buckets
-        high = np.where(inside, high, 0)
-        left, right = starts[high], np.where(inside, starts[high + 1], starts[high])
-        end, want = right, keys & np.uint64((1 << self.low_bits) - 1)
-        left = left.copy()
-        right = right.copy()
+        ask = np.flatnonzero((high >= 0) & (high < self.buckets)) if self.n else np.zeros(0, np.int64)
+        if not len(ask):
+            return found
+        key, high = keys[ask] & self.mask, high[ask]
+        left = np.where(high > 0, self.high.select(np.maximum(high - 1, 0), 0) - np.maximum(high - 1, 0), 0)
+        right = self.high.select(high, 0) - high
+        left = np.maximum(left, start if np.isscalar(start) else start[ask])
+        end = right = np.minimum(right, self.n if stop is None else stop[ask])
+        left, right = left.copy(), right.copy()
         going = np.flatnonzero(left < right)
         while len(going):
             middle = (left[going] + right[going]) >> 1
-            less = self._low(middle) < want[going]
+            less = self._low(middle) < key[going]
             left[going[less]] = middle[less] + 1
             right[going[~less]] = middle[~less]
             going = going[left[going] < right[going]]
-        found = np.full(len(keys), -1, np.int64)
         there = np.flatnonzero(left < end)
-        hit = self._low(left[there]) == want[there]
-        found[there[hit]] = left[there[hit]]
+        hit = there[self._low(left[there]) == key[there]]
+        found[ask[hit]] = left[hit]
         return found
 
 
+class Level:
+    """Children of the nodes of the level above: monotone pointers say where the children of each node begin, and the
+    children's fingerprints are made monotone by the number of their parent. A child is found by a successor search
+    inside its parent's range."""
+
+    #: Bits of a fingerprint.
+    FINGER = 32
+
+    def __init__(self, file: LevelFile, pointers: np.ndarray, fingers: np.ndarray):
+        """pointers: one more than parents; fingers: sorted within each parent."""
+        parents = len(pointers) - 1
+        self.pointers = EliasFano(pointers.astype(np.uint64), max(1, len(fingers)), file)
+        owner = np.repeat(np.arange(parents, dtype=np.uint64), np.diff(pointers))
+        self.children = EliasFano((owner << np.uint64(self.FINGER)) | fingers.astype(np.uint64), max(1, parents) << self.FINGER, file)
+
+    def find(self, parent: np.ndarray, fingers: np.ndarray) -> np.ndarray:
+        """Numbers of children, -1 where there is none or no parent."""
+        out = np.full(len(parent), -1, np.int64)
+        known = np.flatnonzero(parent >= 0)
+        if len(known) and self.children.n:
+            own = parent[known]
+            start, stop = (self.pointers.access(own + k).astype(np.int64) for k in (0, 1))
+            out[known] = self.children.find((own.astype(np.uint64) << np.uint64(self.FINGER)) | fingers[known].astype(np.uint64), start, stop)
+        return out
+
+
 class Trie:
-    """Contexts and their successors. Level one holds the context hashes; monotone pointers say where the successors of
-    each begin; level two holds successors by their hash inside the context, made monotone by the context's number.
-
-    codes: one quantised log10 probability for each successor; counts: of contexts.
-    """
-
-    #: A code is so many units below 0, and the successor's hash has so many bits.
-    STEP, FINGER = 1 / 20, 32
-
-    def __init__(self, folder: str, contexts: np.ndarray, counts: np.ndarray, pointers: np.ndarray, fingers: np.ndarray, log_p: np.ndarray):
-        """pointers: one more than contexts; fingers: sorted within each context."""
-        self.contexts = EliasFano(contexts, (1 << 64) - 1, os.path.join(folder, "contexts"))
-        self.pointers = EliasFano(pointers.astype(np.uint64), max(1, len(fingers)), os.path.join(folder, "pointers"))
-        owner = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers))
-        self.successors = EliasFano((owner << np.uint64(self.FINGER)) | fingers.astype(np.uint64), max(1, len(contexts)) << self.FINGER, os.path.join(folder, "successors"))
-        self.codes = _packed(os.path.join(folder, "codes"), np.clip(np.round(-log_p / self.STEP), 0, 255).astype(np.uint8))
-        self.counts = _packed(os.path.join(folder, "counts"), counts.astype(np.int64))
-
-    def context(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of contexts, -1 for unknown ones."""
-        return self.contexts.find(hashes)
-
-    def probability(self, context: np.ndarray, fingers: np.ndarray) -> np.ndarray:
-        """The stored probability of a successor in a known context, 0 where there is none."""
-        out = np.zeros(len(context))
-        known = np.flatnonzero(context >= 0)
-        at = self.successors.find((context[known].astype(np.uint64) << np.uint64(self.FINGER)) | fingers[known].astype(np.uint64))
-        hit = at >= 0
-        out[known[hit]] = 10.0 ** (-self.STEP * self.codes[at[hit]])
+    """Word hashes with counts, their successors (pairs), and theirs (triples). Pairs and triples hold quantised
+    log10 values in units of STEP below 0."""
+
+    STEP, NONE = 1 / 20, 255
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], **values: np.ndarray):
+        """pairs, triples: (pointers, fingers); values: log10 values of pairs or triples, by name."""
+        file = LevelFile()
+        self.words = EliasFano(words, (1 << 64) - 1, file)
+        self.counts = file.put(counts.astype(np.int64))
+        self.pairs, self.triples = Level(file, *pairs), Level(file, *triples)
+        self.codes = {name: file.put(self.quantised(v)) for name, v in values.items()}
+
+    @classmethod
+    def quantised(cls, log_p: np.ndarray) -> np.ndarray:
+        return np.clip(np.round(-log_p / cls.STEP), 0, cls.NONE - 1).astype(np.uint8)
+
+    @classmethod
+    def value(cls, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for; 0 for NONE."""
+        return np.append(10.0 ** (-cls.STEP * np.arange(cls.NONE)), 0.0)[codes]
+
+    def read(self, name: str, at: np.ndarray, missing: int) -> np.ndarray:
+        """Codes at places, `missing` at -1."""
+        out = np.full(len(at), missing, np.uint8)
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.codes[name][at[known]]
         return out

@@ -1,26 +1,29 @@
-"""Bigram language-model scores from Elias-Fano tries, one for each shard of contexts.
-
-1. Word counts: distinct words of each task with their counts go to a shard by hash. What comes back has a fixed bound:
-   words with at least 1/65,536 of all tokens (at most 65,536 of them) with their counts, and for each of 65,536 hash
-   classes the count and number of the other words. They give the lower-order distribution.
-2. Events: every (context, word) event of every text, counted by document within a slice, goes to the shard of its
-   context; contexts with a large share of all tokens are dealt over several shards by successor.
-3. Each shard builds a trie of the training events in memory-mapped files, queries it with all events and returns sums by
-   document, which are added up by slice.
-
-P(word | context) = (c(context, word) + mu P_low(word)) / (c(context) + mu); both terms are quantised in the trie.
+"""Trigram language-model scores from Elias-Fano tries, one for each range of n-grams.
+
+1. Word counts: distinct words of each task with their counts go to a shard by hash. What comes back are totals and the
+   words that hold so large a share of all tokens that their n-grams are dealt over several tries; with fewer than
+   4 of them for each trie and 2^20 in all, their number is bounded.
+2. Requests: each slice of texts sorts its distinct n-grams by the words' hashes, as a small trie of its own, and cuts it
+   at the bounds of the ranges. A range gets for each slice the words, pairs and triples that begin in it, with the
+   triples' occurrences in training texts (those of pairs and words are sums over what follows, as every text ends with
+   two marks).
+3. Each range adds up the training counts, builds the trie in memory-mapped levels, looks up every n-gram that was asked
+   for, and replies to each slice in the same order: each word's own count, and quantised terms of pairs and triples.
+4. Each slice joins the replies in the order of ranges and adds up its texts' scores.
+
+P1(w) = (c(w) + add) / (N + add (V + 1)), P2(w|b) = c(bw) / (c(b) + mu) + mu / (c(b) + mu) P1(w) and
+P3(w|ab) = c(abw) / (c(ab) + nu) + nu / (c(ab) + nu) P2(w|b); the first term of P2 and both factors of P3 are quantised.
 """
 
 from __future__ import annotations
 
 import io
-import shutil
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +31,12 @@ from pyspark.sql import functions as F
 from quern.llm.elias_fano import Trie
 from quern.llm.runtime import arrow_map, crc32_mod, materialise
 from quern.llm.shingles import few
-from quern.llm.words import Words, split_words
+from quern.llm.words import split_words
 
-#: Contexts and words that are no words of a text.
-START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000003)
-_CLASSES = 1 << 16
-#: Distinct words that a task gathers before it sends them on; training tokens for each shard of events.
-_GATHER, _SHARD_TOKENS = 1_500_000, 2_000_000
-_TRAIN, _FIRST, _MORE, _DOC = 1 << 13, 1 << 15, 1 << 14, (1 << 13) - 1
+#: Marks before and after the words of a text.
+START, END, PAD = (np.uint64(x) for x in (0x5354415254000001, 0x454E440000000003, 0x5041440000000005))
+#: Distinct words that a task gathers before it sends them on; training tokens for each trie; words that are dealt over several tries, at most.
+_GATHER, _TRIE_TOKENS, _DEALT = 1_500_000, 1_000_000, 1 << 20
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -54,48 +55,68 @@ def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are mostly small, as bytes and those that need more."""
+    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.int64)
+
+
+def _large(low: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[low == 255] = more
+    return out
+
+
+def _squeeze(codes: np.ndarray) -> bytes:
+    """Numbers below 2^24 by their bytes' planes."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+
+
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max(1, 3 * n)), np.uint8).reshape(3, n).astype(np.int64)
+    return planes[0] | (planes[1] << 8) | (planes[2] << 16)
+
+
 @dataclass
-class Lower:
-    """The bounded lower-order model: frequent words with counts, classes of the others; END counts as a frequent word."""
+class Corpus:
+    """Totals of the training texts and the ranges of n-grams. `tries` ranges of equal width divide the hashes of first
+    words; each of the sorted `dealt` words has `parts` ranges of its own, by the second word."""
 
-    words: np.ndarray
+    dealt: np.ndarray
     counts: np.ndarray
-    class_counts: np.ndarray
-    class_sizes: np.ndarray
+    parts: np.ndarray
     train_docs: int
     tokens: int
     distinct: int
+    tries: int
 
-    def frequent(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.counts[at], 0)
+    def dealt_place(self, words: np.ndarray) -> np.ndarray:
+        """Places in `dealt`, -1 for other words."""
+        at = np.minimum(np.searchsorted(self.dealt, words), max(0, len(self.dealt) - 1))
+        return np.where(self.dealt[at] == words, at, -1) if len(self.dealt) else np.full(len(words), -1)
 
-    def probability(self, hashes: np.ndarray) -> np.ndarray:
-        """Sums to 1 over frequent words and, in each class, its words and one unseen word."""
-        count, kind = self.frequent(hashes), (hashes >> np.uint64(48)).astype(np.int64)
-        other = (self.class_counts[kind] + 1) / (self.class_sizes[kind] + 1)
-        return np.where(hashes == END, max(self.train_docs, 0.5), np.where(count > 0, count, other)) / (self.tokens + _CLASSES)
+    def range(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The range of n-grams by their first two words; it never falls from a smaller (first, second) to a larger one."""
+        before = np.concatenate([[0], np.cumsum(self.parts)]).astype(np.int64)
+        at, own = np.searchsorted(self.dealt, first), self.dealt_place(first)
+        part = np.zeros(len(first), np.int64)
+        hot = np.flatnonzero(own >= 0)
+        part[hot] = ((second[hot] >> np.uint64(32)) * self.parts[own[hot]].astype(np.uint64)) >> np.uint64(32)
+        return (((first >> np.uint64(32)) * np.uint64(self.tries)) >> np.uint64(32)).astype(np.int64) + before[at] + part
 
-    def shard(self, context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-        """Contexts with over a quarter of a shard's tokens are dealt over several shards by successor."""
-        count = np.where(context == START, self.train_docs, self.frequent(context))
-        parts = np.maximum(1, -(-count * 4 * shards // max(1, self.tokens)))
-        part = (word >> np.uint64(8)) % parts.astype(np.uint64)
-        return (((context >> np.uint64(3)) + part * np.uint64(0x9E3779B1)) % np.uint64(shards)).astype(np.int64)
-
-    def context_count(self, context: np.ndarray) -> np.ndarray:
-        """Counts of contexts that may be dealt over several shards, 0 for others."""
-        return np.where(context == START, self.train_docs, self.frequent(context))
+    def known_counts(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same counts, but of the whole corpus where a word's n-grams are dealt over several tries."""
+        own = self.dealt_place(words)
+        return np.where(own >= 0, self.counts[own] if len(self.counts) else 0, counts)
 
 
 def _training(ids: pa.Array, folds: int) -> np.ndarray:
     return crc32_mod(ids, folds) != 0
 
 
-def _count_words(docs: DataFrame, folds: int, shards: int) -> Lower:
+def _count_words(docs: DataFrame, folds: int) -> Corpus:
+    settings = docs.sparkSession.conf
+    shards = min(1 << 16, int(settings.get("spark.sql.shuffle.partitions")))
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_words, held_counts, held, train_docs = [], [], 0, 0
 
@@ -125,174 +146,213 @@ def _count_words(docs: DataFrame, folds: int, shards: int) -> Lower:
         parts = [_unpack(x, "u8", "u4") for x in table["blob"].to_pylist()]
         words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
-        many = counts * _CLASSES >= counts.sum()  # at least all that have so large a share of the whole
-        kind = (words >> np.uint64(48)).astype(np.int64)
-        sums, sizes = np.bincount(kind[~many], counts[~many], _CLASSES).astype(np.int64), np.bincount(kind[~many], minlength=_CLASSES)
-        used = np.flatnonzero(sizes)
-        docs = sum(table["docs"].to_pylist())
-        key = np.concatenate([words[many].view(np.int64), used, [0]])
-        what = np.repeat(["word", "class", "docs"], [many.sum(), len(used), 1])
-        return pa.table({"what": what, "key": key, "n": np.concatenate([counts[many], sums[used], [docs]]), "size": np.concatenate([np.ones(many.sum(), np.int64), sizes[used], [0]])})
-
-    schema = "what string, key long, n long, size long"
-    found = materialise(arrow_map(docs, partial, "shard int, docs long, blob binary").groupBy("shard").applyInArrow(total, schema))
-    sums = {r.what: r for r in found.groupBy("what").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()}
-    get = lambda what, field: (sums[what][field] or 0) if what in sums else 0
-    tokens, distinct, train_docs = get("word", "n") + get("class", "n"), get("word", "size") + get("class", "size"), get("docs", "n")
-    large = F.col("n") * _CLASSES >= tokens
-    words = found.where((F.col("what") == "word") & large).select("key", "n").toArrow()  # at most _CLASSES rows, by the share they need
-    rest = found.where((F.col("what") == "class") | ((F.col("what") == "word") & ~large))
-    kind = F.when(F.col("what") == "class", F.col("key")).otherwise(F.shiftrightunsigned("key", 48))
-    classes = rest.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow()  # at most _CLASSES rows
-    class_counts, class_sizes = np.zeros(_CLASSES, np.int64), np.zeros(_CLASSES, np.int64)
-    class_counts[classes["kind"].to_numpy()], class_sizes[classes["kind"].to_numpy()] = classes["n"].to_numpy(), classes["size"].to_numpy()
-    hashes = words["key"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return Lower(hashes[order], words["n"].to_numpy()[order], class_counts, class_sizes, train_docs, tokens + train_docs, distinct + (train_docs > 0))
-
-
-def _events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, word, document) events of a slice, sorted, with their counts; the two numbers after the dictionary's stand for START and END."""
-    n, sizes = len(words.dictionary), np.diff(words.docs)
-    docs = len(sizes)
-    doc = np.repeat(np.arange(docs), sizes + 1)
-    start_at, end_at = words.docs[:-1] + np.arange(docs), words.docs[1:] + np.arange(docs)
-    context, word = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-    inside = np.ones(len(doc), np.bool_)
-    inside[end_at] = False
-    word[inside], word[end_at] = words.codes, n + 1
-    inside[:] = True
-    inside[start_at] = False
-    context[inside], context[start_at] = words.codes, n
-    keys = np.sort(((context * (n + 2) + word) << 13) | doc)
-    fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    tf = np.diff(np.append(fresh, len(keys)))
-    keys = keys[fresh]
-    pair = keys >> 13
-    return pair // (n + 2), pair % (n + 2), keys & _DOC, tf
-
-
-def score_documents(docs: DataFrame, folds: int = 10, mu: float = 20.0, add: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Scores of each text by a model of the texts whose crc32(id as text) modulo `folds` is not 0.
+        many = counts * _DEALT >= counts.sum()  # at least all that have so large a share of the whole
+        n = int(many.sum())
+        return pa.table(
+            {
+                "word": pa.array([*words[many].view(np.int64).tolist(), None], pa.int64()),
+                "n": np.append(counts[many], counts.sum()),
+                "distinct": np.append(np.zeros(n, np.int64), len(words)),
+                "docs": np.append(np.zeros(n, np.int64), sum(table["docs"].to_pylist())),
+            }
+        )
+
+    found = materialise(arrow_map(docs, partial, "shard int, docs long, blob binary").groupBy("shard").applyInArrow(total, "word long, n long, distinct long, docs long"))
+    sums = found.where("word IS NULL").agg(F.sum("n"), F.sum("distinct"), F.sum("docs")).first()
+    tokens, distinct, train_docs = (x or 0 for x in sums)
+    tokens, distinct = tokens + train_docs, distinct + (train_docs > 0)
+    tries = max(2 * shards, -(-tokens // _TRIE_TOKENS)) if tokens >= _TRIE_TOKENS // 8 else 4
+    share = min(4 * tries, _DEALT)  # a word with at least one part in so many is dealt; there are at most so many
+    words = found.where(f"word IS NOT NULL AND n * {share} >= {tokens}").select("word", "n").toArrow()
+    dealt, counts = words["word"].to_numpy().view(np.uint64), words["n"].to_numpy()
+    if train_docs * share >= tokens > 0:
+        dealt, counts = np.append(dealt, START), np.append(counts, train_docs)
+    order = np.argsort(dealt)
+    dealt, counts = dealt[order].astype(np.uint64), counts[order].astype(np.int64)
+    return Corpus(dealt, counts, np.maximum(1, -(-counts * 4 * tries // max(1, tokens))).astype(np.int64), train_docs, tokens, distinct, tries)
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams of a slice: `pairs` and `triples` by their words' codes, `pair` and `triple` of each token of each
+    text (the pair ends with the token, the triple begins with that pair), and each token's text."""
+
+    codes: int
+    pairs: np.ndarray
+    triples: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, sizes: np.ndarray, codes: int, marks: tuple[int, int, int]) -> Grams:
+        """From the codes of all words, the words of each text, and the codes of START, END and PAD."""
+        docs = len(sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]]).astype(np.int64) if docs else np.zeros(0, np.int64)
+        text = np.empty(len(words) + 3 * docs, np.int64)
+        inside = np.ones(len(text), np.bool_)
+        for mark, at in zip(marks, (starts, starts + sizes + 1, starts + sizes + 2), strict=True):
+            text[at], inside[at] = mark, False
+        text[inside] = words
+        begins = np.ones(len(text), np.bool_)
+        begins[starts + sizes + 1], begins[starts + sizes + 2] = False, False
+        at = np.flatnonzero(begins)
+        pairs, pair = np.unique(text[at] * codes + text[at + 1], return_inverse=True)
+        triples, triple = np.unique(pair * codes + text[at + 2], return_inverse=True)
+        return cls(codes, pairs, triples, pair, triple, np.repeat(np.arange(docs), sizes + 1))
+
+
+def score_documents(docs: DataFrame, folds: int = 10, mu: float = 20.0, nu: float = 2.0, add: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Scores of each text by a trigram model of the texts whose crc32(id as text) modulo `folds` is not 0.
 
     doc_id; held_out (that remainder is 0); n_tokens (words, A-Z in lower case, and one end); n_known (tokens seen in
     training); train_tokens; base_score: sum of log10((c + add) / (N + add (V + 1))) over the tokens; score: log10
-    probability of the text. Null and empty texts have the end only. A null id counts as the text "None", is scored and
-    stays null; repeated rows are trained on and scored like any others. Other columns are not read. An empty table gives
-    an empty result; without training rows every probability comes from the classes alone.
+    probability of the text, with the weights `mu` and `nu` of the lower orders. Null and empty texts have the end only.
+    A null id counts as the text "None", is scored and stays null; repeated rows are trained on and scored like any
+    others. Other columns are not read. An empty table gives an empty result; without training rows every probability
+    is that of an unseen word.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    lower = _count_words(docs, folds, min(_CLASSES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shards = max(1, -(-lower.tokens // _SHARD_TOKENS))
-    model = spark.sparkContext.broadcast(lower)  # at most 65,536 words and 65,536 classes, 16 bytes each
+    corpus = spark.sparkContext.broadcast(_count_words(docs, folds))  # at most _DEALT words of 24 bytes
 
-    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = corpus.value
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(few(batches)):
             name = (part << 32) | number
             train = _training(batch.column("doc_id"), folds)
             words = split_words(batch.column("text"), lower=True)
-            hashes = np.concatenate([words.hashes(), [START, END]]).astype(np.uint64)
-            code = np.clip(np.round(-np.log10(own.probability(hashes)) / Trie.STEP), 0, 255).astype(np.uint8)
-            context, word, doc, tf = _events(words)
-            to = own.shard(hashes[context], hashes[word], shards)
-            order = np.argsort(to, kind="stable")
-            context, word, doc, tf, to = context[order], word[order], doc[order], tf[order], to[order]
-            entry = (doc | (train[doc] * _TRAIN) | ((tf > 1) * _MORE)).astype(np.uint16)
-            pair = context * len(hashes) + word
-            cuts = np.searchsorted(to, np.arange(shards + 1))
+            hashes = np.concatenate([words.hashes(), [START, END, PAD]]).astype(np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashes = hashes[order]
+            sizes, codes = np.diff(words.docs), rank[words.codes]
+            grams = Grams.of(codes, sizes, len(hashes), tuple(rank[-3:].tolist()))
             ids = np.array([x if x is not None else -1 for x in batch.column("doc_id").to_pylist()], np.int64)
-            head = _pack(ids=ids, known=np.array(batch.column("doc_id").is_valid()), train=train, tokens=np.diff(words.docs) + 1)
+            dealt = np.flatnonzero(own.dealt_place(hashes) >= 0)
+            head = _pack(
+                ids=ids,
+                known=np.array(batch.column("doc_id").is_valid()),
+                train=train,
+                sizes=sizes.astype(np.int64),
+                marks=np.append(rank[-3:], len(hashes)),
+                dealt=dealt,
+                counts=own.known_counts(hashes[dealt], np.zeros(len(dealt), np.int64)),
+                codes=np.frombuffer(_squeeze(codes), np.uint8),
+            )
             rows = [(-1 - name, name, head)]
-            for k in np.flatnonzero(np.diff(cuts)):
-                at = slice(cuts[k], cuts[k + 1])
-                first = np.concatenate([[True], pair[at][1:] != pair[at][:-1]])
-                heads = np.flatnonzero(first)
-                own_context = context[at][heads]
-                begins = np.flatnonzero(np.concatenate([[True], own_context[1:] != own_context[:-1]]))
+            first, second = grams.pairs // len(hashes), grams.pairs % len(hashes)
+            to = own.range(hashes[first], hashes[second])
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)) if len(to) else np.zeros(1, np.int64)
+            below = np.searchsorted(grams.triples, np.arange(len(to) + 1) * len(hashes))
+            seen = np.bincount(grams.triple, train[grams.doc], len(grams.triples)).astype(np.int64)
+            third = hashes[grams.triples % len(hashes)] >> np.uint64(32)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                heads = np.flatnonzero(np.concatenate([[True], first[a + 1 : b] != first[a : b - 1]]))
+                inner = slice(below[a], below[b])
                 rows.append(
                     (
-                        int(k),
+                        int(to[a]),
                         name,
                         _pack(
-                            contexts=hashes[own_context[begins]],
-                            pairs=np.diff(np.append(begins, len(heads))).astype(np.uint32),
-                            fingers=(hashes[word[at][heads]] >> np.uint64(32)).astype(np.uint32),
-                            codes=code[word[at][heads]],
-                            entries=entry[at] | (first * _FIRST).astype(np.uint16),
-                            more=tf[at][tf[at] > 1].astype(np.uint32),
+                            words=hashes[first[a:b][heads]],
+                            pairs=np.diff(np.append(heads, b - a)).astype(np.uint32),
+                            seconds=(hashes[second[a:b]] >> np.uint64(32)).astype(np.uint32),
+                            **dict(zip(("triples", "triples_more"), _small(np.diff(below[a : b + 1])), strict=True)),
+                            thirds=third[inner].astype(np.uint32),
+                            **dict(zip(("seen", "seen_more"), _small(seen[inner]), strict=True)),
                         ),
                     )
                 )
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "slice", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["range", "slice", "blob"])
 
-    def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            return pa.table({"slice": table["slice"], "head": pa.array([True] * len(table)), "blob": table["blob"]})
-        own = model.value
-        parts = [_unpack(x, "u8", "u4", "u4", "u1", "u2", "u4") for x in table["blob"].to_pylist()]
-        counts = []
-        for *_, entries, more in parts:
-            tf = np.ones(len(entries), np.int64)
-            tf[(entries & _MORE) != 0] = more
-            counts.append(tf)
-        contexts, owner = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        owner = np.repeat(owner, np.concatenate([p[1] for p in parts])).astype(np.uint64)
-        entries, tf = np.concatenate([p[4] for p in parts]), np.concatenate(counts)
-        row = np.cumsum((entries & _FIRST) != 0) - 1
-        seen = np.bincount(row, np.where(entries & _TRAIN, tf, 0), len(owner)).astype(np.int64)
-        keys, back = np.unique(((owner << np.uint64(32)) | np.concatenate([p[2] for p in parts]))[seen > 0], return_inverse=True)
-        seen = np.bincount(back, seen[seen > 0], len(keys)).astype(np.int64)
-        owner = (keys >> np.uint64(32)).astype(np.int64)
-        own_count = np.bincount(owner, seen, len(contexts)).astype(np.int64)
-        count = np.maximum(own_count, own.context_count(contexts))
-        trained = own_count > 0
-        folder = tempfile.mkdtemp()
-        try:
-            pointers = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts))[trained])])
-            trie = Trie(folder, contexts[trained], count[trained], pointers, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.log10(seen / (count[owner] + mu)))
-            out = []
-            for (hashes, pairs, fingers, codes, entries, _), tf in zip(parts, counts, strict=True):
-                number = trie.context(hashes)
-                total = own.context_count(hashes)
-                known = number >= 0
-                total[known] = trie.counts[number[known]]
-                p = trie.probability(np.repeat(number, pairs), fingers)
-                p = np.log10(p + np.repeat(mu / (total + mu), pairs) * 10.0 ** (-Trie.STEP * codes))
-                word = np.repeat(np.where(hashes == START, 0, np.log10(total + add)), pairs)
-                met = np.repeat((hashes != START) & (total > 0), pairs)
-                row, doc = np.cumsum((entries & _FIRST) != 0) - 1, (entries & _DOC).astype(np.int64)
-                have = np.flatnonzero(np.bincount(doc))
-                sums = [np.bincount(doc, tf * x[row])[have] for x in (p, word, met)]
-                out.append(_pack(docs=have.astype(np.uint16), score=sums[0].astype(np.float32), base=sums[1], known=sums[2].astype(np.uint32)))
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-        return pa.table({"slice": table["slice"], "head": pa.array([False] * len(out)), "blob": pa.array(out, pa.binary())})
+            return table.select(["slice", "range", "blob"])
+        own = corpus.value
+        parts = [_unpack(x, "u8", "u4", "u4", "u1", "i8", "u4", "u1", "i8") for x in table["blob"].to_pylist()]
+        triples = [_large(p[3], p[4]) for p in parts]
+        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        owner = np.repeat(word, np.concatenate([p[1] for p in parts])).astype(np.uint64)
+        pairs, pair = np.unique((owner << np.uint64(32)) | np.concatenate([p[2] for p in parts]), return_inverse=True)
+        owner = np.repeat(pair, np.concatenate(triples)).astype(np.uint64)
+        keys, back = np.unique((owner << np.uint64(32)) | np.concatenate([p[5] for p in parts]), return_inverse=True)
+        seen = np.bincount(back, np.concatenate([_large(p[6], p[7]) for p in parts]), len(keys)).astype(np.int64)
+        of_pair, of_word = (keys >> np.uint64(32)).astype(np.int64), (pairs >> np.uint64(32)).astype(np.int64)
+        pair_seen = np.bincount(of_pair, seen, len(pairs)).astype(np.int64)
+        word_seen = own.known_counts(words, np.bincount(of_word, pair_seen, len(words)).astype(np.int64))
+        trie = _trie(words, word_seen, pairs, pair_seen, keys, seen, mu, nu)
+        number = trie.words.find(words)
+        counts = np.zeros(len(words), np.int64)
+        counts[number >= 0] = trie.counts[number[number >= 0]]
+        place = trie.pairs.find(number[of_word], (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        after = trie.triples.find(place[of_pair], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        pair_code, rest_code = trie.read("pair", place, Trie.NONE), trie.read("rest", place, 0)
+        triple_code = trie.read("triple", after, Trie.NONE)
+        out, at = [], np.zeros(3, np.int64)
+        for p in parts:
+            to = at + [len(p[0]), len(p[2]), len(p[5])]
+            mine, two = word[at[0] : to[0]], pair[at[1] : to[1]]
+            alone = own.dealt_place(words[mine]) < 0
+            out.append(_pack(counts=counts[mine[alone]].astype(np.uint32), pair=pair_code[two], rest=rest_code[two], triple=triple_code[back[at[2] : to[2]]]))
+            at = to
+        return pa.table({"slice": table["slice"], "range": table["range"], "blob": pa.array(out, pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
-        own = model.value
-        raws, heads = table["blob"].to_pylist(), table["head"].to_pylist()
-        ids, known_id, train, tokens = _unpack(raws[heads.index(True)], "i8", "?", "?", "i8")
-        sums = np.zeros((3, len(ids)))
-        for raw, head in zip(raws, heads, strict=True):
-            if not head:
-                at, *parts = _unpack(raw, "u2", "f4", "f8", "u4")
-                for k, x in enumerate(parts):
-                    sums[k][at] += x
-        base = sums[1] + np.log10(own.train_docs + add) - tokens * np.log10(own.tokens + add * (own.distinct + 1))
+        own = corpus.value
+        table = table.sort_by("range")  # the slice's own row, then the replies
+        raws = table["blob"].to_pylist()
+        ids, known_id, train, sizes, marks, dealt, dealt_counts, codes = _unpack(raws[0], "i8", "?", "?", "i8", "i8", "i8", "i8", "u1")
+        start, end, pad, n = marks.tolist()
+        grams = Grams.of(_unsqueezed(codes.tobytes(), int(sizes.sum())), sizes, n, (start, end, pad))
+        replies = [_unpack(raw, "u4", "u1", "u1", "u1") for raw in raws[1:]]
+        counts, pair, rest, triple = (np.concatenate([r[k] for r in replies]) for k in range(4))
+        first, second = grams.pairs // n, grams.pairs % n
+        seen = np.zeros(n, np.int64)
+        asked = np.zeros(n, np.bool_)
+        asked[first] = True
+        asked[dealt] = False
+        seen[asked] = counts
+        seen[dealt] = dealt_counts
+        seen[[start, end]] = own.train_docs
+        p1 = (seen + add) / (own.tokens + add * (own.distinct + 1))
+        p2 = Trie.value(pair) + mu / (seen[first] + mu) * p1[second]
+        p = p2[grams.pair]
+        later = np.flatnonzero(grams.doc[1:] == grams.doc[:-1])  # tokens with two before them
+        p[later + 1] = Trie.value(triple)[grams.triple[later]] + Trie.value(rest)[grams.pair[later]] * p[later + 1]
+        word = second[grams.pair]
+        sums = [np.bincount(grams.doc, x, len(ids)) for x in (np.log10(p), np.log10(p1)[word], seen[word] > 0)]
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=~known_id),
                 "held_out": ~train,
-                "n_tokens": tokens,
-                "n_known": sums[2].astype(np.int64) + (own.train_docs > 0),
+                "n_tokens": sizes + 1,
+                "n_known": sums[2].astype(np.int64),
                 "train_tokens": np.full(len(ids), own.tokens, np.int64),
-                "base_score": base,
+                "base_score": sums[1],
                 "score": sums[0],
             }
         )
 
-    scored = arrow_map(docs, events, "shard long, slice long, blob binary").groupBy("shard").applyInArrow(score, "slice long, head boolean, blob binary")
-    return scored.groupBy("slice").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = arrow_map(docs, requests, "range long, slice long, blob binary").groupBy("range").applyInArrow(answer, "slice long, range long, blob binary")
+    return answers.groupBy("slice").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _trie(words: np.ndarray, word_seen: np.ndarray, pairs: np.ndarray, pair_seen: np.ndarray, triples: np.ndarray, seen: np.ndarray, mu: float, nu: float) -> Trie:
+    """The trie of what training texts hold of a range. The upper 32 bits of pairs and triples number words and pairs."""
+    of_word, of_pair = (pairs >> np.uint64(32)).astype(np.int64), (triples >> np.uint64(32)).astype(np.int64)
+    kept_words, kept_pairs, kept = np.bincount(of_word, pair_seen, len(words)) > 0, pair_seen > 0, seen > 0
+    ends = lambda of, parents, children: np.concatenate([[0], np.cumsum(np.bincount(of[children], minlength=len(parents))[parents])])
+    fingers = lambda keys: (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    context = pair_seen[of_pair[kept]]
+    return Trie(
+        words[kept_words],
+        word_seen[kept_words],
+        (ends(of_word, kept_words, kept_pairs), fingers(pairs[kept_pairs])),
+        (ends(of_pair, kept_pairs, kept), fingers(triples[kept])),
+        pair=np.log10(pair_seen[kept_pairs] / (word_seen[of_word[kept_pairs]] + mu)),
+        rest=np.log10(nu / (pair_seen[kept_pairs] + nu)),
+        triple=np.log10(seen[kept] / (context + nu)),
+    )

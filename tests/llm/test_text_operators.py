@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import quality_model
-from quern.llm.elias_fano import EliasFano, Trie
-from quern.llm.language_model import score_documents
+from quern.llm.elias_fano import Bits, EliasFano, LevelFile, Trie
+from quern.llm.language_model import Corpus, score_documents
 from quern.llm.personal_data import KINDS, extract, redact, said
 from quern.llm.quality_model import Features, Machine, features, keep_good, score_quality
 from quern.llm.quality_rules import distance, judge
@@ -233,79 +233,120 @@ def test_features_of_no_words():
 
 
 @pytest.mark.parametrize("universe", [1, 1000, 2**40, 2**64 - 1])
-def test_elias_fano(tmp_path, universe):
+def test_elias_fano(universe):
     rng = np.random.default_rng(1)
-    for n in (0, 1, 300, 5000):
+    for n in (0, 1, 300, 5000, 150_000):
         values = np.unique(rng.integers(0, universe, n, dtype=np.uint64, endpoint=True))
-        ef = EliasFano(values, universe, str(tmp_path / f"{universe}-{n}"))
-        assert (ef.values() == values).all()
+        ef = EliasFano(values, universe, LevelFile())
+        assert (ef.access(np.arange(len(values))) == values).all()
         keys = np.concatenate([values, rng.integers(0, universe, 200, dtype=np.uint64, endpoint=True)])
-        want = [{int(v): k for k, v in enumerate(values)}.get(int(x), -1) for x in keys]
-        assert ef.find(keys).tolist() == want
+        place = {int(v): k for k, v in enumerate(values)}
+        assert ef.find(keys).tolist() == [place.get(int(x), -1) for x in keys]
 
 
-def test_trie(tmp_path):
-    trie = Trie(str(tmp_path), np.array([5, 9], np.uint64), np.array([3, 1]), np.array([0, 2, 3]), np.array([1, 7, 1], np.uint32), np.array([-0.1, -1.0, -2.0]))
-    number = trie.context(np.array([5, 6, 9], np.uint64))
+def test_select():
+    rng = np.random.default_rng(2)
+    for size, n in ((1, 1), (512, 512), (513, 0), (5000, 700), (70_000, 69_000)):
+        ones = np.sort(rng.choice(size, n, replace=False))
+        bits = Bits(ones, size, LevelFile())
+        assert (bits.select(np.arange(n)) == ones).all()
+        assert (bits.select(np.arange(size - n), 0) == np.setdiff1d(np.arange(size), ones)).all()
+
+
+def trie():
+    return Trie(
+        np.array([5, 9], np.uint64),
+        np.array([3, 1]),
+        (np.array([0, 2, 3]), np.array([1, 7, 1], np.uint32)),
+        (np.array([0, 1, 3, 3]), np.array([4, 4, 6], np.uint32)),
+        pair=np.array([-0.1, -1.0, -2.0]),
+        triple=np.array([-0.5, -1.5, -3.0]),
+    )
+
+
+def test_trie():
+    own = trie()
+    number = own.words.find(np.array([5, 6, 9], np.uint64))
     assert number.tolist() == [0, -1, 1]
-    p = trie.probability(number[[0, 0, 0, 1, 2]], np.array([1, 7, 8, 1, 1], np.uint32))
-    assert np.allclose(p, [10**-0.1, 0.1, 0, 0, 0.01])
+    pairs = own.pairs.find(number[[0, 0, 0, 1, 2]], np.array([1, 7, 8, 1, 1], np.uint32))
+    assert pairs.tolist() == [0, 1, -1, -1, 2]
+    assert np.allclose(Trie.value(own.read("pair", pairs, Trie.NONE)), [10**-0.1, 0.1, 0, 0, 0.01])
+    triples = own.triples.find(pairs[[0, 1, 1, 2, 4, 1]], np.array([4, 4, 6, 4, 4, 5], np.uint32))
+    assert triples.tolist() == [0, 1, 2, -1, -1, -1]
+
+
+def test_a_trie_is_lost_without_its_pointers():
+    own = trie()
+    own.pairs.pointers = EliasFano(np.array([0, 1, 3], np.uint64), 3, LevelFile())
+    assert own.pairs.find(np.array([0, 0, 1]), np.array([1, 7, 1], np.uint32)).tolist() == [0, -1, 2]
 
 
 def tokens(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text)) + ["</s>"]
 
 
-def check_language_model(df, mu=20.0):
+def check_language_model(df, mu=20.0, nu=2.0):
+    """All results against a plain model, whose terms are rounded as the tries round them."""
     rows = [(r.doc_id, r.text or "") for r in df.collect()]
-    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0]
-    count, pairs, contexts = Counter(), Counter(), Counter()
-    for _, t in train:
-        w = tokens(t)
-        count.update(w)
-        pairs.update(zip(["<s>", *w], w, strict=False))
-        contexts.update(["<s>", *w[:-1]])
-    n, v = sum(count.values()), len(count)
-    want = Counter()
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0]
+    one, two, three = Counter(), Counter(), Counter()
+    for w in train:
+        w = ["<s>", *w]
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(one.values()) - one["<s>"], len(set(one) - {"<s>"})
+    rounded = lambda p: 10 ** (-0.05 * round(-20 * math.log10(p))) if p else 0.0
+    want, scores = Counter(), []
     for i, t in rows:
-        w = tokens(t)
-        base = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        want[i, zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(count[x] > 0 for x in w), n, round(base, 3)] += 1
-    got = score_documents(df, mu=mu).collect()
+        w = ["<s>", *tokens(t)]
+        base = score = 0.0
+        for k in range(1, len(w)):
+            p1 = (one[w[k]] + 0.1) / (n + 0.1 * (v + 1))
+            p = rounded(two[w[k - 1], w[k]] / (one[w[k - 1]] + mu)) + mu / (one[w[k - 1]] + mu) * p1
+            if k > 1:
+                context = two[w[k - 2], w[k - 1]]
+                p = rounded(three[w[k - 2], w[k - 1], w[k]] / (context + nu)) + rounded(nu / (context + nu)) * p
+            base, score = base + math.log10(p1), score + math.log10(p)
+        want[i, zlib.crc32(str(i).encode()) % 10 == 0, len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, round(base, 3)] += 1
+        scores.append((repr(i), score))
+    got = score_documents(df, mu=mu, nu=nu).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == want
-    return got, pairs, contexts
+    for (i, score), (j, own) in zip(sorted(scores), sorted((repr(r.doc_id), r.score) for r in got), strict=True):
+        assert i == j and abs(own - score) < 1e-6 * abs(score) + 1e-6
+    return got
 
 
 def test_language_model(spark):
-    df = spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)
-    got, pairs, contexts = check_language_model(df)
-    texts = {r.doc_id: r.text for r in df.collect()}
-    for r in got:
-        w = tokens(texts[r.doc_id])
-        known = sum(math.log10(pairs[a, b] / (contexts[a] + 20)) for a, b in zip(["<s>", *w], w, strict=False) if pairs[a, b])
-        unseen = sum(pairs[a, b] == 0 for a, b in zip(["<s>", *w], w, strict=False))
-        assert r.score < 0 and (r.held_out or unseen == 0)
-        if not unseen:
-            assert known - 0.05 * len(w) <= r.score <= known + 0.35 * len(w)
-    assert np.mean([r.score / r.n_tokens for r in got]) > np.mean([r.base_score / r.n_tokens for r in got])
+    got = check_language_model(spark.read.parquet(f"{DATA}/documents.parquet").repartition(3))
+    assert all(r.score < 0 for r in got)
+    for held in (True, False):
+        assert np.mean([r.score / r.n_tokens for r in got if r.held_out == held]) > np.mean([r.base_score / r.n_tokens for r in got if r.held_out == held])
 
 
 def test_language_model_edge_cases(spark, edge):
-    got, _, _ = check_language_model(edge)
+    got = check_language_model(edge)
     assert all(np.isfinite(r.score) for r in got)
     assert score_documents(edge.limit(0)).collect() == []
     held = edge.where("doc_id = 11").unionAll(edge.where("doc_id = 2"))
     check_language_model(held)
 
 
-def test_split_contexts(spark, monkeypatch):
+def test_words_dealt_over_several_tries(spark, monkeypatch):
     from quern.llm import language_model
 
-    df = spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)
-    whole = {r.doc_id: r for r in score_documents(df).collect()}
-    monkeypatch.setattr(language_model, "_SHARD_TOKENS", 2000)
-    for r in score_documents(df).collect():
-        assert abs(r.score - whole[r.doc_id].score) < 0.02 * abs(r.score) + 0.1 and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6 * abs(r.base_score)
+    monkeypatch.setattr(language_model, "_TRIE_TOKENS", 2000)
+    check_language_model(spark.read.parquet(f"{DATA}/documents.parquet").repartition(3))
+
+
+def test_ranges_keep_the_order():
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**64 - 1, 300, dtype=np.uint64))
+    own = Corpus(words[[3, 50, 299 % len(words)]], np.array([9, 9, 9]), np.array([5, 1, 40]), 1, 100, 10, 7)
+    first, second = np.repeat(words, len(words)), np.tile(words, len(words))
+    found = own.range(first, second)
+    assert (np.diff(found) >= 0).all()
+    assert len(set(found[first == words[3]])) == 5 and len(set(found[first == words[4]])) == 1
 
 
 def test_pipeline(spark):
