@@ -70,7 +70,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_read(spark, sf_dir, "documents"), folds=10, mu=20.0, nu=2.0, add=0.1)
+    return score_documents(_read(spark, sf_dir, "documents"), folds=10, mu=100.0, nu=2.0, add=0.1)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,21 @@ import tempfile
 
 import numpy as np
 
-_BLOCK = 512
 #: Places looked up at once; bounds what a query gathers.
-_STEP = 1 << 16
+_STEP = 1 << 17
+
+
+def _neighbours(at: np.ndarray, look_up) -> tuple[np.ndarray, np.ndarray]:
+    """look_up(x) and look_up(x + 1) for each x of `at`; runs of equal and neighbouring numbers, as in a sorted batch, are looked up once."""
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    own = at[heads]
+    first = look_up(own)
+    second = np.empty_like(first)
+    second[:-1] = first[1:]
+    alone = np.flatnonzero(np.append(own[1:] != own[:-1] + 1, True))
+    second[alone] = look_up(own[alone] + 1)
+    sizes = np.diff(np.append(heads, len(at)))
+    return np.repeat(first, sizes), np.repeat(second, sizes)
 
 
 class LevelFile:
@@ -29,38 +41,36 @@ class LevelFile:
 
 
 class Bits:
-    """A bit vector with select of ones and zeros; all it holds besides is the number of ones before each block of 512 bits."""
+    """A bit vector with select of ones and zeros; all it holds besides is the number of ones before each word of 64 bits."""
 
     def __init__(self, ones: np.ndarray, size: int, file: LevelFile):
-        bits = np.zeros(-(-max(1, size) // _BLOCK) * _BLOCK, np.bool_)
+        bits = np.zeros(-(-max(1, size) // 64) * 64, np.bool_)
         bits[ones] = True
-        bits[size:] = False
-        words = np.packbits(bits, bitorder="little").view("<u8").reshape(-1, 8)
+        words = np.packbits(bits, bitorder="little").view("<u8")
         self.words = file.put(words)
-        self.before = file.put(np.concatenate([[0], np.cumsum(np.bitwise_count(words).sum(axis=1))]).astype(np.int64))
+        self.before = file.put(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.uint32))
 
     def select(self, k: np.ndarray, bit: int = 1) -> np.ndarray:
         """The position of the k-th one (or zero), counted from 0; it must be there."""
-        before = np.asarray(self.before) if bit else np.arange(len(self.before)) * _BLOCK - self.before
+        before = self.before.astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * 64 - before
         out = np.empty(len(k), np.int64)
         for at in range(0, len(k), _STEP):
             want = k[at : at + _STEP]
-            block = np.searchsorted(before, want, side="right") - 1
-            rest = want - before[block]
-            words = self.words[block] if bit else ~self.words[block]
-            ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-            inside = (ends <= rest[:, None]).sum(axis=1)
-            row = np.arange(len(want))
-            rest -= np.where(inside > 0, ends[row, inside - 1], 0)
-            word, place = words[row, inside], np.zeros(len(want), np.int64)
+            which = np.searchsorted(before, want, side="right") - 1
+            rest = (want - before[which]).astype(np.uint8)
+            word, place = np.asarray(self.words)[which], which * 64
+            if not bit:
+                word = ~word
             for half in (32, 16, 8, 4, 2, 1):
                 low = word & np.uint64((1 << half) - 1)
                 count = np.bitwise_count(low)
                 over = rest >= count
-                rest -= np.where(over, count, 0)
+                rest -= count * over
+                place += over * half
                 word = np.where(over, word >> np.uint64(half), low)
-                place += np.where(over, half, 0)
-            out[at : at + _STEP] = block * _BLOCK + inside * 64 + place
+            out[at : at + _STEP] = place
         return out
 
 
@@ -91,10 +101,10 @@ class EliasFano:
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(at), np.uint64)
-        bit = at * self.low_bits
+        bit, low = at * self.low_bits, np.asarray(self.low)
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        first = self.low[word] >> shift
-        rest = (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        first = low[word] >> shift
+        rest = (low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
         return (first | rest) & self.mask
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -110,8 +120,7 @@ class EliasFano:
         if not len(ask):
             return found
         key, high = keys[ask] & self.mask, high[ask]
-        left = np.where(high > 0, self.high.select(np.maximum(high - 1, 0), 0) - np.maximum(high - 1, 0), 0)
-        right = self.high.select(high, 0) - high
+        left, right = _neighbours(high, lambda h: np.where(h > 0, self.high.select(np.maximum(h, 1) - 1, 0) - h + 1, 0))
         left = np.maximum(left, start if np.isscalar(start) else start[ask])
         end = right = np.minimum(right, self.n if stop is None else stop[ask])
         left, right = left.copy(), right.copy()
@@ -149,7 +158,7 @@ class Level:
         known = np.flatnonzero(parent >= 0)
         if len(known) and self.children.n:
             own = parent[known]
-            start, stop = (self.pointers.access(own + k).astype(np.int64) for k in (0, 1))
+            start, stop = _neighbours(own, lambda at: self.pointers.access(at).astype(np.int64))
             out[known] = self.children.find((own.astype(np.uint64) << np.uint64(self.FINGER)) | fingers[known].astype(np.uint64), start, stop)
         return out
 
@@ -181,5 +190,5 @@ class Trie:
         """Codes at places, `missing` at -1."""
         out = np.full(len(at), missing, np.uint8)
         known = np.flatnonzero(at >= 0)
-        out[known] = self.codes[name][at[known]]
+        out[known] = np.asarray(self.codes[name])[at[known]]
         return out

@@ -202,7 +202,7 @@ class Grams:
         return cls(codes, pairs, triples, pair, triple, np.repeat(np.arange(docs), sizes + 1))
 
 
-def score_documents(docs: DataFrame, folds: int = 10, mu: float = 20.0, nu: float = 2.0, add: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, mu: float = 100.0, nu: float = 2.0, add: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Scores of each text by a trigram model of the texts whose crc32(id as text) modulo `folds` is not 0.
 
     doc_id; held_out (that remainder is 0); n_tokens (words, A-Z in lower case, and one end); n_known (tokens seen in

@@ -285,7 +285,7 @@ def tokens(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text)) + ["</s>"]
 
 
-def check_language_model(df, mu=20.0, nu=2.0):
+def check_language_model(df, mu=100.0, nu=2.0):
     """All results against a plain model, whose terms are rounded as the tries round them."""
     rows = [(r.doc_id, r.text or "") for r in df.collect()]
     train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0]
