@@ -142,15 +142,12 @@ class Level:
     children's fingerprints are made monotone by the number of their parent. A child is found by a successor search
     inside its parent's range."""
 
-    #: Bits of a fingerprint.
-    FINGER = 32
-
-    def __init__(self, file: LevelFile, pointers: np.ndarray, fingers: np.ndarray):
-        """pointers: one more than parents; fingers: sorted within each parent."""
-        parents = len(pointers) - 1
+    def __init__(self, file: LevelFile, pointers: np.ndarray, fingers: np.ndarray, bits: int):
+        """pointers: one more than parents; fingers: of so many bits, sorted within each parent."""
+        self.bits, parents = np.uint64(bits), len(pointers) - 1
         self.pointers = EliasFano(pointers.astype(np.uint64), max(1, len(fingers)), file)
         owner = np.repeat(np.arange(parents, dtype=np.uint64), np.diff(pointers))
-        self.children = EliasFano((owner << np.uint64(self.FINGER)) | fingers.astype(np.uint64), max(1, parents) << self.FINGER, file)
+        self.children = EliasFano((owner << self.bits) | fingers.astype(np.uint64), max(1, parents) << bits, file)
 
     def find(self, parent: np.ndarray, fingers: np.ndarray) -> np.ndarray:
         """Numbers of children, -1 where there is none or no parent."""
@@ -159,7 +156,7 @@ class Level:
         if len(known) and self.children.n:
             own = parent[known]
             start, stop = _neighbours(own, lambda at: self.pointers.access(at).astype(np.int64))
-            out[known] = self.children.find((own.astype(np.uint64) << np.uint64(self.FINGER)) | fingers[known].astype(np.uint64), start, stop)
+            out[known] = self.children.find((own.astype(np.uint64) << self.bits) | fingers[known].astype(np.uint64), start, stop)
         return out
 
 
@@ -169,8 +166,8 @@ class Trie:
 
     STEP, NONE = 1 / 20, 255
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], **values: np.ndarray):
-        """pairs, triples: (pointers, fingers); values: log10 values of pairs or triples, by name."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, int], triples: tuple[np.ndarray, np.ndarray, int], **values: np.ndarray):
+        """pairs, triples: (pointers, fingers, bits); values: log10 values of pairs or triples, by name."""
         file = LevelFile()
         self.words = EliasFano(words, (1 << 64) - 1, file)
         self.counts = file.put(counts.astype(np.int64))

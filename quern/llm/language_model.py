@@ -35,45 +35,34 @@ from quern.llm.words import split_words
 
 #: Marks before and after the words of a text.
 START, END, PAD = (np.uint64(x) for x in (0x5354415254000001, 0x454E440000000003, 0x5041440000000005))
+#: Bits of a word's fingerprint as the second of a pair and the third of a triple.
+_PAIR_BITS, _TRIPLE_BITS = 32, 24
 #: Distinct words that a task gathers before it sends them on; training tokens for each trie; words that are dealt over several tries, at most.
 _GATHER, _TRIE_TOKENS, _DEALT = 1_500_000, 1_000_000, 1 << 20
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    for a in arrays.values():
-        out.write(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes())
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as the planes of their bytes; planes of zeros take next to nothing."""
+    out, squeeze = io.BytesIO(), zstandard.ZstdCompressor(1).compress
+    for a in arrays:
+        raw = squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) if len(a) else b""
+        out.write(np.array([len(a), a.dtype.itemsize, len(raw)], np.int64).tobytes() + raw)
     return out.getvalue()
 
 
 def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, whole = [], 0, zstandard.ZstdDecompressor().decompress
     for t in types:
-        size = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at + 8))
-        at += 8 + size
+        n, size, length = np.frombuffer(raw, np.int64, 3, at).tolist()
+        data = np.frombuffer(whole(raw[at + 24 : at + 24 + length], n * size) if n else b"", np.uint8)
+        out.append(np.ascontiguousarray(data.reshape(size, n).T).view(t).reshape(n))
+        at += 24 + length
     return out
 
 
-def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers that are mostly small, as bytes and those that need more."""
-    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.int64)
-
-
-def _large(low: np.ndarray, more: np.ndarray) -> np.ndarray:
-    out = low.astype(np.int64)
-    out[low == 255] = more
-    return out
-
-
-def _squeeze(codes: np.ndarray) -> bytes:
-    """Numbers below 2^24 by their bytes' planes."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
-
-
-def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max(1, 3 * n)), np.uint8).reshape(3, n).astype(np.int64)
-    return planes[0] | (planes[1] << 8) | (planes[2] << 16)
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which np.cumsum undoes."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
 
 
 @dataclass
@@ -126,7 +115,7 @@ def _count_words(docs: DataFrame, folds: int) -> Corpus:
             counts = np.bincount(back, np.concatenate([*held_counts, np.zeros(0)]), len(words)).astype(np.uint32)
             to = ((words >> np.uint64(48)).astype(np.int64) * shards) >> 16
             cuts = np.searchsorted(to, np.arange(shards + 1))
-            rows = [(k, int(train_docs) if k == 0 else 0, _pack(w=words[a:b], c=counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or k == 0]
+            rows = [(k, int(train_docs) if k == 0 else 0, _pack(_steps(words[a:b]), counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or k == 0]
             held_words, held_counts, held, train_docs = [], [], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "docs", "blob"])
 
@@ -144,7 +133,7 @@ def _count_words(docs: DataFrame, folds: int) -> Corpus:
 
     def total(table: pa.Table) -> pa.Table:
         parts = [_unpack(x, "u8", "u4") for x in table["blob"].to_pylist()]
-        words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        words, back = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
         many = counts * _DEALT >= counts.sum()  # at least all that have so large a share of the whole
         n = int(many.sum())
@@ -232,71 +221,52 @@ def score_documents(docs: DataFrame, folds: int = 10, mu: float = 100.0, nu: flo
             grams = Grams.of(codes, sizes, len(hashes), tuple(rank[-3:].tolist()))
             ids = np.array([x if x is not None else -1 for x in batch.column("doc_id").to_pylist()], np.int64)
             dealt = np.flatnonzero(own.dealt_place(hashes) >= 0)
-            head = _pack(
-                ids=ids,
-                known=np.array(batch.column("doc_id").is_valid()),
-                train=train,
-                sizes=sizes.astype(np.int64),
-                marks=np.append(rank[-3:], len(hashes)),
-                dealt=dealt,
-                counts=own.known_counts(hashes[dealt], np.zeros(len(dealt), np.int64)),
-                codes=np.frombuffer(_squeeze(codes), np.uint8),
-            )
+            dealt_counts = own.known_counts(hashes[dealt], np.zeros(len(dealt), np.int64))
+            head = _pack(ids, np.array(batch.column("doc_id").is_valid()), train, sizes.astype(np.int64), np.append(rank[-3:], len(hashes)), dealt, dealt_counts, codes.astype(np.uint32))
             rows = [(-1 - name, name, head)]
             first, second = grams.pairs // len(hashes), grams.pairs % len(hashes)
             to = own.range(hashes[first], hashes[second])
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)) if len(to) else np.zeros(1, np.int64)
             below = np.searchsorted(grams.triples, np.arange(len(to) + 1) * len(hashes))
-            seen = np.bincount(grams.triple, train[grams.doc], len(grams.triples)).astype(np.int64)
-            third = hashes[grams.triples % len(hashes)] >> np.uint64(32)
+            seen = np.bincount(grams.triple, train[grams.doc], len(grams.triples)).astype(np.uint32)
+            seconds, thirds = _finger(hashes[second], _PAIR_BITS), _finger(hashes[grams.triples % len(hashes)], _TRIPLE_BITS)
+            of_pair = (grams.triples // len(hashes)).astype(np.uint64)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                heads = np.flatnonzero(np.concatenate([[True], first[a + 1 : b] != first[a : b - 1]]))
+                fresh = np.concatenate([[True], first[a + 1 : b] != first[a : b - 1]])
                 inner = slice(below[a], below[b])
-                rows.append(
-                    (
-                        int(to[a]),
-                        name,
-                        _pack(
-                            words=hashes[first[a:b][heads]],
-                            pairs=np.diff(np.append(heads, b - a)).astype(np.uint32),
-                            seconds=(hashes[second[a:b]] >> np.uint64(32)).astype(np.uint32),
-                            **dict(zip(("triples", "triples_more"), _small(np.diff(below[a : b + 1])), strict=True)),
-                            thirds=third[inner].astype(np.uint32),
-                            **dict(zip(("seen", "seen_more"), _small(seen[inner]), strict=True)),
-                        ),
-                    )
-                )
+                words_steps = _steps(hashes[first[a:b][fresh]])
+                pair_steps = _steps(((np.cumsum(fresh) - 1).astype(np.uint64) << np.uint64(_PAIR_BITS)) | seconds[a:b])
+                triple_steps = _steps(((of_pair[inner] - np.uint64(a)) << np.uint64(_TRIPLE_BITS)) | thirds[inner])
+                rows.append((int(to[a]), name, _pack(words_steps, pair_steps, triple_steps, seen[inner])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["range", "slice", "blob"])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.select(["slice", "range", "blob"])
         own = corpus.value
-        parts = [_unpack(x, "u8", "u4", "u4", "u1", "i8", "u4", "u1", "i8") for x in table["blob"].to_pylist()]
-        triples = [_large(p[3], p[4]) for p in parts]
-        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        owner = np.repeat(word, np.concatenate([p[1] for p in parts])).astype(np.uint64)
-        pairs, pair = np.unique((owner << np.uint64(32)) | np.concatenate([p[2] for p in parts]), return_inverse=True)
-        owner = np.repeat(pair, np.concatenate(triples)).astype(np.uint64)
-        keys, back = np.unique((owner << np.uint64(32)) | np.concatenate([p[5] for p in parts]), return_inverse=True)
-        seen = np.bincount(back, np.concatenate([_large(p[6], p[7]) for p in parts]), len(keys)).astype(np.int64)
-        of_pair, of_word = (keys >> np.uint64(32)).astype(np.int64), (pairs >> np.uint64(32)).astype(np.int64)
+        parts = [_unpack(x, "u8", "u8", "u8", "u4") for x in table["blob"].to_pylist()]
+        asked = [[np.cumsum(steps) for steps in p[:3]] for p in parts]
+        words, word = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        pairs, pair = _numbered([a[1] for a in asked], word, [len(a[0]) for a in asked], _PAIR_BITS)
+        keys, back = _numbered([a[2] for a in asked], pair, [len(a[1]) for a in asked], _TRIPLE_BITS)
+        seen = np.bincount(back, np.concatenate([p[3] for p in parts]), len(keys)).astype(np.int64)
+        of_pair, of_word = (keys >> np.uint64(_TRIPLE_BITS)).astype(np.int64), (pairs >> np.uint64(_PAIR_BITS)).astype(np.int64)
         pair_seen = np.bincount(of_pair, seen, len(pairs)).astype(np.int64)
         word_seen = own.known_counts(words, np.bincount(of_word, pair_seen, len(words)).astype(np.int64))
         trie = _trie(words, word_seen, pairs, pair_seen, keys, seen, mu, nu)
         number = trie.words.find(words)
         counts = np.zeros(len(words), np.int64)
         counts[number >= 0] = trie.counts[number[number >= 0]]
-        place = trie.pairs.find(number[of_word], (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        after = trie.triples.find(place[of_pair], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        place = trie.pairs.find(number[of_word], pairs & np.uint64((1 << _PAIR_BITS) - 1))
+        after = trie.triples.find(place[of_pair], keys & np.uint64((1 << _TRIPLE_BITS) - 1))
         pair_code, rest_code = trie.read("pair", place, Trie.NONE), trie.read("rest", place, 0)
         triple_code = trie.read("triple", after, Trie.NONE)
         out, at = [], np.zeros(3, np.int64)
-        for p in parts:
-            to = at + [len(p[0]), len(p[2]), len(p[5])]
+        for a in asked:
+            to = at + [len(x) for x in a]
             mine, two = word[at[0] : to[0]], pair[at[1] : to[1]]
             alone = own.dealt_place(words[mine]) < 0
-            out.append(_pack(counts=counts[mine[alone]].astype(np.uint32), pair=pair_code[two], rest=rest_code[two], triple=triple_code[back[at[2] : to[2]]]))
+            out.append(_pack(counts[mine[alone]].astype(np.uint32), pair_code[two], rest_code[two], triple_code[back[at[2] : to[2]]]))
             at = to
         return pa.table({"slice": table["slice"], "range": table["range"], "blob": pa.array(out, pa.binary())})
 
@@ -304,9 +274,9 @@ def score_documents(docs: DataFrame, folds: int = 10, mu: float = 100.0, nu: flo
         own = corpus.value
         table = table.sort_by("range")  # the slice's own row, then the replies
         raws = table["blob"].to_pylist()
-        ids, known_id, train, sizes, marks, dealt, dealt_counts, codes = _unpack(raws[0], "i8", "?", "?", "i8", "i8", "i8", "i8", "u1")
+        ids, known_id, train, sizes, marks, dealt, dealt_counts, codes = _unpack(raws[0], "i8", "?", "?", "i8", "i8", "i8", "i8", "u4")
         start, end, pad, n = marks.tolist()
-        grams = Grams.of(_unsqueezed(codes.tobytes(), int(sizes.sum())), sizes, n, (start, end, pad))
+        grams = Grams.of(codes.astype(np.int64), sizes, n, (start, end, pad))
         replies = [_unpack(raw, "u4", "u1", "u1", "u1") for raw in raws[1:]]
         counts, pair, rest, triple = (np.concatenate([r[k] for r in replies]) for k in range(4))
         first, second = grams.pairs // n, grams.pairs % n
@@ -340,18 +310,28 @@ def score_documents(docs: DataFrame, folds: int = 10, mu: float = 100.0, nu: flo
     return answers.groupBy("slice").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _finger(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
+
+
+def _numbered(keys: list[np.ndarray], parent: np.ndarray, parents: list[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (parent << bits | fingerprint) and which one each key is; the keys of a slice number its own parents."""
+    begins = np.cumsum([0, *parents[:-1]])
+    own = np.concatenate([parent[(k >> np.uint64(bits)).astype(np.int64) + b] for k, b in zip(keys, begins, strict=True)])
+    return np.unique((own.astype(np.uint64) << np.uint64(bits)) | (np.concatenate(keys) & np.uint64((1 << bits) - 1)), return_inverse=True)
+
+
 def _trie(words: np.ndarray, word_seen: np.ndarray, pairs: np.ndarray, pair_seen: np.ndarray, triples: np.ndarray, seen: np.ndarray, mu: float, nu: float) -> Trie:
-    """The trie of what training texts hold of a range. The upper 32 bits of pairs and triples number words and pairs."""
-    of_word, of_pair = (pairs >> np.uint64(32)).astype(np.int64), (triples >> np.uint64(32)).astype(np.int64)
+    """The trie of what training texts hold of a range. The upper bits of pairs and triples number words and pairs."""
+    of_word, of_pair = (pairs >> np.uint64(_PAIR_BITS)).astype(np.int64), (triples >> np.uint64(_TRIPLE_BITS)).astype(np.int64)
     kept_words, kept_pairs, kept = np.bincount(of_word, pair_seen, len(words)) > 0, pair_seen > 0, seen > 0
     ends = lambda of, parents, children: np.concatenate([[0], np.cumsum(np.bincount(of[children], minlength=len(parents))[parents])])
-    fingers = lambda keys: (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     context = pair_seen[of_pair[kept]]
     return Trie(
         words[kept_words],
         word_seen[kept_words],
-        (ends(of_word, kept_words, kept_pairs), fingers(pairs[kept_pairs])),
-        (ends(of_pair, kept_pairs, kept), fingers(triples[kept])),
+        (ends(of_word, kept_words, kept_pairs), pairs[kept_pairs] & np.uint64((1 << _PAIR_BITS) - 1), _PAIR_BITS),
+        (ends(of_pair, kept_pairs, kept), triples[kept] & np.uint64((1 << _TRIPLE_BITS) - 1), _TRIPLE_BITS),
         pair=np.log10(pair_seen[kept_pairs] / (word_seen[of_word[kept_pairs]] + mu)),
         rest=np.log10(nu / (pair_seen[kept_pairs] + nu)),
         triple=np.log10(seen[kept] / (context + nu)),

@@ -257,8 +257,8 @@ def trie():
     return Trie(
         np.array([5, 9], np.uint64),
         np.array([3, 1]),
-        (np.array([0, 2, 3]), np.array([1, 7, 1], np.uint32)),
-        (np.array([0, 1, 3, 3]), np.array([4, 4, 6], np.uint32)),
+        (np.array([0, 2, 3]), np.array([1, 7, 1], np.uint32), 32),
+        (np.array([0, 1, 3, 3]), np.array([4, 4, 6], np.uint32), 24),
         pair=np.array([-0.1, -1.0, -2.0]),
         triple=np.array([-0.5, -1.5, -3.0]),
     )
