@@ -18,7 +18,7 @@ from quern.llm.personal_data import KINDS, extract, redact, said
 from quern.llm.quality_model import Features, Machine, features, keep_good, score_quality
 from quern.llm.quality_rules import distance, judge
 from quern.llm.runtime import materialise
-from quern.llm.url_templates import judge_urls
+from quern.llm.url_templates import judge_urls, merge_branches
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -152,14 +152,14 @@ def test_divergence(spark):
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
-def plain_url(url):
+def plain_url(url, rules=RULES):
     host = path = ""
     if url is not None and "://" in url:
         rest = url.split("://", 1)[1]
         cut = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
         path = re.split(r"[?#]", rest[cut:], maxsplit=1)[0]
-    fit = [(len(r), r, v) for v, r in RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    fit = [(len(r), r, v) for v, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
     return host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else None
 
 
@@ -184,6 +184,72 @@ def test_templates_learn_from_labels(spark):
     assert got["http://other.net/a"].verdict == "allow"
 
 
+def plain_templates(urls, rules):
+    """The tree by recursion over lists of pages."""
+    pages = []
+    for u in urls:
+        host, path, rule, verdict = plain_url(u, rules)
+        shape = re.sub("[0-9]+", "<n>", re.sub(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}(?![0-9A-Za-z])", "<x>", path))
+        pages.append((host, tuple(shape.split("/")[1:]), verdict))
+    out = {}
+
+    def grow(host, rows, level, name):
+        here = [r for r in rows if len(r[1]) <= level]
+        if len(rows) < 5 or len({r[1] for r in rows}) == 1:
+            for r in rows:
+                out[host, r[1]] = name + "".join("/" + ("*" if len(rows) < 5 else s) for s in r[1][level:])
+            return
+        for r in here:
+            out[host, r[1]] = name
+        groups = {}
+        for r in rows:
+            if len(r[1]) > level:
+                groups.setdefault(r[1][level], []).append(r)
+        big = sorted(s for s, g in groups.items() if len(g) >= 5 and len(g) >= 0.005 * len(rows))
+        kinds = sorted({r[1][level + 1 :] for g in groups.values() for r in g})
+        below = np.array([[sum(r[1][level + 1 :] == k for r in groups[s]) for k in kinds] for s in big], float).reshape(len(big), len(kinds))
+        labels = np.array([[sum(r[2] == v for r in groups[s]) for v in ("allow", "block")] for s in big], float).reshape(len(big), 2)
+        branch = dict(zip(big, merge_branches(big, below, labels, 1.645), strict=True))
+        pooled = {}
+        for s, g in groups.items():
+            pooled.setdefault(branch.get(s, "*"), []).extend(g)
+        for b, g in pooled.items():
+            grow(host, g, level + 1, f"{name}/{b}")
+
+    for host in {p[0] for p in pages}:
+        grow(host, [p for p in pages if p[0] == host], 0, "")
+    leaves, hosts, total = {}, {}, [0, 0]
+    for host, segments, verdict in pages:
+        for sums in (leaves.setdefault((host, out[host, segments]), [0, 0]), hosts.setdefault(host, [0, 0]), total):
+            sums[0] += verdict is not None
+            sums[1] += verdict == "block"
+    share = (total[1] + 5) / (total[0] + 10)
+    found = []
+    for host, segments, verdict in pages:
+        prior = (hosts[host][1] + 10 * share) / (hosts[host][0] + 10)
+        n, b = leaves[host, out[host, segments]]
+        purity = (b + 10 * prior) / (n + 10)
+        found.append((out[host, segments], round(purity, 9), verdict or ("block" if purity >= 0.8 else "allow")))
+    return found
+
+
+def test_templates_against_a_plain_tree(spark):
+    rng = random.Random(11)
+    urls = []
+    for host in ("a.com", "b.com", "c.org"):
+        urls += [f"http://{host}/{lang}/{kind}/{rng.randint(1, 999)}" for lang in ("en", "de", "fr") for kind in rng.choices(["news", "shop", "faq", "blog"], [4, 2, 1, 1], k=40)]
+    urls += [f"http://x.net/{a}/{p}/{rng.randint(1, 9)}" for a, ps in (("x", "abcdefghijklmno"), ("y", "abcdefghpqrstuv"), ("z", "abcdefghijklmno")) for p in ps for _ in range(6)]
+    urls += [f"http://d.org/1/2/3/4/5/{w}/{rng.randint(1, 99)}" for w in ("spam", "docs") for _ in range(30)]
+    urls += [f"http://e.net/{k}x/{'y/' * k}" for k in range(12)] + ["http://deep.com" + "/a" * 500 + f"/{'bc'[k % 2]}/x" for k in range(12)] + ["nothing", "http://h.com"]
+    rules = [("block", "com/de/"), ("allow", "com/fr/"), ("allow", "d.org/1/2/3/4/5/docs/"), ("block", "d.org/1/2/3/4/5/spam/1"), ("block", "d.org/1/2/3/4/5/spam/2"), ("block", "d.org/1/2/3/4/5/spam/3"), ("block", "d.org/1/2/3/4/5/spam/4")]
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), rules).collect()}
+    assert [got[k] for k in range(len(urls))] == plain_templates(urls, rules)
+    templates = {u.split("/")[2] + "/" + u.split("/")[3]: got[k][0].split("/")[1] for k, u in enumerate(urls) if u.count("/") > 3}
+    assert templates["x.net/x"] == templates["x.net/z"] == "{x+}" and templates["x.net/y"] == "y"
+    deep = [got[k] for k, u in enumerate(urls) if u.startswith("http://d.org")]
+    assert {t.split("/")[6] for t, *_ in deep} == {"spam", "docs"}
+
+
 def test_interactions_in_linear_time():
     rng = np.random.default_rng(0)
     machine = Machine()
