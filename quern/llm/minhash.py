@@ -58,19 +58,17 @@ def weigh(sets: Shingles, idfs: np.ndarray) -> np.ndarray:
 
 
 def similarity(left: Shingles, right: Shingles, idfs: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of each left document with the right one of the same number, or its plain Jaccard similarity where that is higher; 0 if either is empty."""
+    """Weighted Jaccard similarity of each left document with the right one of the same number; 0 if either is empty."""
     n = len(left.docs) - 1
     keys = [(s.doc.astype(np.uint64) << np.uint64(BITS)) | s.hash for s in (left, right)]
     if not len(keys[0]) or not len(keys[1]):
         return np.zeros(n)
     at = np.minimum(np.searchsorted(keys[0], keys[1]), len(keys[0]) - 1)
     same = keys[0][at] == keys[1]
-    best = np.zeros(n)
-    for a, b in ((weigh(left, idfs), weigh(right, idfs)), (np.ones(len(left.tf)), np.ones(len(right.tf)))):
-        total = np.bincount(left.doc, a, n) + np.bincount(right.doc, b, n)
-        common = np.bincount(right.doc[same], np.minimum(a[at[same]], b[same]), n)
-        best = np.maximum(best, np.divide(common, total - common, out=np.zeros(n), where=total > common))
-    return best
+    a, b = weigh(left, idfs), weigh(right, idfs)
+    total = np.bincount(left.doc, a, n) + np.bincount(right.doc, b, n)
+    common = np.bincount(right.doc[same], np.minimum(a[at[same]], b[same]), n)
+    return np.divide(common, total - common, out=np.zeros(n), where=total > common)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, idfs, threshold: float, width: int) -> DataFrame:
@@ -93,18 +91,18 @@ def _similarities(left: Shingles, right: Shingles, idfs: np.ndarray) -> np.ndarr
     n, m = len(left.docs) - 1, len(right.docs) - 1
     names, at = np.unique(np.concatenate([left.hash, right.hash]), return_inverse=True)
     mine, other = at[: len(left.hash)], at[len(left.hash) :]
-    best = np.zeros((n, m))
-    for a, b in ((weigh(left, idfs), weigh(right, idfs)), (np.ones(len(left.tf)), np.ones(len(right.tf)))):
-        sums, totals = np.bincount(left.doc, a, n), np.bincount(right.doc, b, m)
-        held = np.zeros(len(names))
-        for k in range(n):
-            own = slice(left.docs[k], left.docs[k + 1])
-            held[mine[own]] = a[own]
-            common = np.bincount(right.doc, np.minimum(held[other], b), m)
-            held[mine[own]] = 0
-            total = sums[k] + totals - common
-            best[k] = np.maximum(best[k], np.divide(common, total, out=np.zeros(m), where=total > 0))
-    return best
+    out = np.zeros((n, m))
+    a, b = weigh(left, idfs), weigh(right, idfs)
+    sums, totals = np.bincount(left.doc, a, n), np.bincount(right.doc, b, m)
+    held = np.zeros(len(names))
+    for k in range(n):
+        own = slice(left.docs[k], left.docs[k + 1])
+        held[mine[own]] = a[own]
+        common = np.bincount(right.doc, np.minimum(held[other], b), m)
+        held[mine[own]] = 0
+        total = sums[k] + totals - common
+        out[k] = np.divide(common, total, out=np.zeros(m), where=total > 0)
+    return out
 
 
 def _block_links(docs: DataFrame, labelled: DataFrame, idfs, threshold: float, width: int) -> DataFrame:
@@ -145,7 +143,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     """doc_id, class_id (smallest doc_id that links lead to, itself included), kept (doc_id = class_id), one row per row of `docs`.
 
     Texts link where the weighted Jaccard similarity of their shingles of `width` words is at least `threshold`; weights
-    are occurrences times a bounded idf over all documents. (A pair whose plain Jaccard similarity reaches it links as well.) Equal texts with words are one class at once. Samples are
+    are occurrences times a bounded idf over all documents. Equal texts with words are one class at once. Samples are
     banded (`bands` keys of `rows` samples), so a pair at similarity s is a candidate with probability
     1 - (1 - s^rows)^bands. All pairs of a bucket of up to 16 texts are verified. Of a larger one, every text is verified
     with the bucket's most central text (the one that shares most buckets), then texts still in another class with the

@@ -102,6 +102,83 @@ def test_redaction(spark):
     assert out == {0: "mail [EMAIL] now", 1: "", 2: "[PHONE] and [CARD]", 3: "none"}
 
 
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_spans(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([3, 511, 512, 513, 1500, 4000])))
+        cuts = [sorted((rng.randint(0, len(text)), rng.randint(0, len(text)))) for _ in range(rng.choice([0, 1, 5, 80]))]
+        rows.append((k, text, [(a, rng.randint(0, 4), min(b, a + rng.choice([1, 5, 600]))) for a, b in cuts if b > a]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = {r.doc_id: r.t for r in df.select("doc_id", redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {k: plain_redaction(t, s) for k, t, s in rows}
+
+
+def plain_extraction(texts, rounds, confidence, support):
+    """Base spans and found tokens by the stated method, in plain Python."""
+    token = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}"
+    edges, scores, spans = {}, {}, []
+
+    def context(text, at):
+        before = text[max(0, at - 100) : at].lower()
+        words = re.findall(r"(?:(?!\w)\S|_)*(?:(?!_)\w)\S*", before)
+        return re.sub("[0-9]+", "0", " ".join(words[-2:]))
+
+    for text in texts:
+        base, here = base_spans(text), []
+        for k, (kind, p) in enumerate([*PATTERNS.items(), ("id", token)]):
+            for m in re.finditer(p, text):
+                if kind == "id" and any(a < m.end() and m.start() < b for a, _, b in base) or not holds(kind, m.group()):
+                    continue
+                here.append((m.start(), k, m.end(), m.group(), context(text, m.start())))
+        spans.append(here)
+        for _, k, _, value, c in here:
+            if c:
+                edges[c, value] = max(edges.get((c, value), 0), int(k < 4))
+    for (_, v), seed in edges.items():
+        scores[v] = max(scores.get(v, 0.0), float(seed))
+    seeds = dict(scores)
+    for _ in range(rounds):
+        about = {}
+        for c, v in edges:
+            about.setdefault(c, []).append(scores[v])
+        judged = {c: (sum(x) / (len(x) + 1), sum(y >= confidence for y in x)) for c, x in about.items()}
+        scores = {v: max([s, *(judged[c][0] for c, w in edges if w == v and judged[c][1] >= support)]) for v, s in seeds.items()}
+    good = {c for c, (conf, backing) in judged.items() if conf >= confidence and backing >= support}
+    return [[(a, k, b) for a, k, b, _, c in here if k == 4 and c in good] for here in spans]
+
+
+def test_discovery_against_plain_turns(spark):
+    rng = random.Random(21)
+    leads = ["mail", "user:", "account no", "call me", "card -", "id", "ref #", "my", "see ="]
+    things = ["a{n}@b{n}.org", "10.{n}.3.7", "+1 (974) 555-{n:04d}", "tok{n}77-XY", "K{n:07d}", "ab_{n}cdef", "word", "411111111111111{n}"]
+    texts = []
+    for _ in range(250):
+        own = rng.choice(leads)
+        texts.append(" ".join(f"{rng.choice(['then', 'and', '', '.'])} {own if rng.random() < 0.8 else rng.choice(leads)} {rng.choice(things).format(n=rng.randint(1, 30))}" for _ in range(rng.randint(1, 5))))
+    texts.append(" ".join(f"x{n}yzzz{n}" for n in range(400)) + " mail a1@b1.org " * 50)
+    want = plain_extraction(texts, 3, 0.4, 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.found] for r in extract(df, rounds=3, confidence=0.4, support=3).collect()}
+    assert [got[k] for k in range(len(texts))] == [sorted(w) for w in want] and any(want)
+
+
+def test_long_texts_of_identifiers_and_emails(spark):
+    ids, mails = " ".join(f"tok{n:06d}x" for n in range(40_000)), " ".join(f"n{n}@mail.example.org" for n in range(20_000))
+    df = spark.createDataFrame([(1, ids), (2, mails)], "doc_id long, text string").repartition(2)
+    out = {r.doc_id: r for r in extract(df, carry=True).select("doc_id", F.size("base").alias("n"), redact(F.col("row.text"), F.concat("base", "found")).alias("t")).collect()}
+    assert (out[1].n, out[1].t) == (0, ids) and (out[2].n, out[2].t) == (20_000, " ".join(["[EMAIL]"] * 20_000))
+
+
 def plain_rules(text):
     w = WORD.findall(text)
     tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
