@@ -178,21 +178,25 @@ class Encoded:
 
 
 class WordCache:
-    """Remembers the outcome of pre-tokens; emptied when full, so a worker's memory stays bounded."""
+    """Remembers the outcome of short pre-tokens; emptied when it holds too many words or bytes, so a worker's memory stays bounded."""
 
-    def __init__(self, fixed: dict[bytes, int] | None = None, limit: int = 700_000):
-        self.limit, self.fixed = limit, fixed or {}
+    #: Longer pre-tokens are worked out each time.
+    LONGEST = 64
+
+    def __init__(self, fixed: dict[bytes, int] | None = None, limit: int = 700_000, limit_bytes: int = 64 << 20):
+        self.limit, self.limit_bytes, self.fixed = limit, limit_bytes, fixed or {}
         self.reset()
 
     def reset(self) -> None:
         """Only the fixed one-value pre-tokens remain."""
-        self.at = {w: k for k, w in enumerate(self.fixed)}
+        self.at, self.bytes = {w: k for k, w in enumerate(self.fixed)}, 0
         self.starts, self.counts, self.store = np.arange(len(self.fixed)), np.ones(len(self.fixed), np.int64), np.array(list(self.fixed.values()), np.int32)
 
     def look_up(self, dictionary: pa.Array, work) -> np.ndarray:
-        """Rows of starts and counts for each pre-token of the dictionary; `work` gives (values, counts) of unknown ones."""
+        """Rows of starts and counts for each pre-token of the dictionary; `work` gives (values, counts) of unknown ones. The
+        rows hold until the next call."""
         words = dictionary.to_pylist()
-        if len(self.at) + len(words) > self.limit:
+        if len(self.at) + len(words) > self.limit or self.bytes > self.limit_bytes:
             self.reset()
         rows = np.fromiter(map(self.at.get, words, [-1] * len(words)), np.int64, len(words))
         new = np.flatnonzero(rows < 0)
@@ -204,7 +208,9 @@ class WordCache:
             self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.store = np.concatenate([self.store, values])
-            self.at.update(zip((words[k] for k in new.tolist()), rows[new].tolist(), strict=True))
+            short = [k for k in new.tolist() if len(words[k]) <= self.LONGEST]
+            self.at.update(zip((words[k] for k in short), rows[short].tolist(), strict=True))
+            self.bytes += sum(len(words[k]) for k in short) + values.nbytes + 16 * len(new)
         return rows
 
 

@@ -79,6 +79,40 @@ def test_small_caches_change_nothing(library):
         assert counts.count(part).tolist() == wanted[a : a + 100]
 
 
+def test_long_pretokens_through_composed_count_maps(library):
+    rng = random.Random(8)
+    own = transducer.Transducer(bpe.from_json(JSON))
+    for text in ["x" * 70_001, "ab" * 3000, "".join(rng.choice("etaoinshr") for _ in range(150_000)), "".join(rng.choice("日本語ß") for _ in range(3000)), "a" * 513]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert own.count_long(raw) == len(library.encode(text, add_special_tokens=False).ids)
+        assert own.count(raw, np.array([0, len(raw)]))[0].tolist() == [own.count_long(raw)]
+
+
+def test_count_maps_compose():
+    rng = np.random.default_rng(4)
+    full = [{s: (int(rng.integers(5)), int(rng.integers(-2, 9))) for s in rng.choice(5, 3, replace=False).tolist()} for _ in range(13)]
+    maps = np.array([[(s, *m[s]) for s in m] for m in full])
+    got = transducer.CountMaps(maps[:, :, 0], maps[:, :, 1], maps[:, :, 2]).prefixes()
+    for k, s in enumerate(maps[0, :, 0].tolist()):
+        state, total = s, 0
+        for row, m in enumerate(full):
+            if state in m:
+                state, total = m[state][0], total + m[state][1]
+            else:
+                state = -1
+            assert got.end[row, k] == state and (state < 0 or got.count[row, k] == total)
+
+
+def test_cached_bytes_are_bounded():
+    cache = bpe.WordCache(limit_bytes=100_000)
+    work = lambda data, offsets: (np.zeros(int(offsets[-1]), np.int32), np.diff(offsets))
+    for k in range(60):
+        words = pa.array([(b"%05d" % (k * 5 + n)) * 2000 for n in range(5)], pa.binary())
+        rows = cache.look_up(words, work)
+        assert cache.counts[rows].tolist() == [10_000] * 5
+        assert cache.bytes < 100_000 + 5 * 50_000 and not cache.at and cache.store.nbytes <= cache.bytes
+
+
 def test_encode_operator(spark, edge, ranked):
     rows = edge.select("doc_id", "text").collect()
     got = encode_documents(edge, RANKS, ("n_tokens", "ids", "offsets", "decoded", "ids_sha256", "decoded_sha256")).collect()
