@@ -99,8 +99,9 @@ def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float = 24, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id, n_links (other vectors with cosine >= threshold found), component_id (smallest vec_id that links lead to), kept (vec_id = component_id).
+    """vec_id, n_links (other vectors with cosine >= threshold found), component_id (smallest vec_id that links lead to), kept (vec_id = component_id), one row per row.
 
+    Equal vectors become one with a multiplicity first, so groups of exact copies cost no more than one of them.
     Candidates share a filter; every candidate pair is verified in double precision, in blocks that return sums and
     block-wise roots, never pairs. Buckets of more than SIDE vectors are cut into sides, and each pair of sides is a block.
     The number of filters grows with the vectors, so an ordinary bucket stays near BUCKET of them. A pair at cosine 0.9
@@ -108,20 +109,22 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
 
     Only vectors of one length are compared; each length has codes of its own, or, with at most SIDE vectors, one bucket
     of all. Vectors that are null, zero, or hold null or non-finite components link with nothing.
-    Rows with the same vec_id count as one vector (any one of them); rows with a null id are left out. Other columns are
-    not read. An empty table gives an empty result.
+    Rows with the same vec_id are vectors of their own. A row with a null id is compared like any other; component_id is
+    null only where a component has no id at all, and kept then is true. Other columns are not read. An empty table gives an empty result.
     """
-    ids = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].alias("v")).where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
-    kind = vectors.schema[vector_column].dataType.simpleString()
+    spark, kind = vectors.sparkSession, vectors.schema[vector_column].dataType.simpleString()
     sound = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)"
-    ids = materialise(ids.select("vec_id", F.when(F.expr(sound), F.col("v")).alias("v")))
-    lengths = ids.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # one row for each length
-    alone = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = vectors.select(vectors[id_column].cast("long").alias("own_id"), vectors[vector_column].alias("v")).select("own_id", F.when(F.expr(sound), F.col("v")).alias("v"))
+    rows = rows.withColumns({"h": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "g": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v"))})
+    same = rows.where("v IS NOT NULL").groupBy("h", "g").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("own_id").alias("least"))
+    ids = materialise(same.select(F.monotonically_increasing_id().alias("vec_id"), "*"))  # vec_id: a number for each distinct vector
+    lengths = ids.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # one row for each length
+    alone = rows.select(F.col("own_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("own_id").alias("component_id"), F.lit(True).alias("kept"))
     if not lengths:
         return alone
     place = {d: k for k, (d, _) in enumerate(lengths)}
     codes = {d: [ProductCode.fit(d, n, filters_each / REPEATS, seed) for seed in range(REPEATS)] for d, n in lengths if n > SIDE}
-    code = ids.sparkSession.sparkContext.broadcast(codes)  # for each common length at most 3 x 4,096 codewords each
+    code = spark.sparkContext.broadcast(codes)  # for each common length at most 3 x 4,096 codewords each
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,22 +142,22 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
                     order = np.argsort(row, kind="stable")
                     row, found = row[order], found[order] + (place[d] << _FILTER_BITS)
                     cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found))], names=["vec_id", "v", "filters"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("vec_id", "copies", "v")), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found))], names=["vec_id", "copies", "v", "filters"])
 
-    decoded = materialise(arrow_map(ids.join(F.broadcast(ids.sparkSession.createDataFrame([(d,) for d, _ in lengths], "d int")), F.size("v") == F.col("d"), "left_semi"), decode, f"vec_id long, v {kind}, filters array<long>"))
+    decoded = materialise(arrow_map(ids.select("vec_id", "copies", "v"), decode, f"vec_id long, copies long, v {kind}, filters array<long>"))
     met = decoded.select("vec_id", F.explode("filters").alias("filter"))
     sizes = materialise(met.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / SIDE).cast("int").alias("sides")))
     shared = met.join(sizes, "filter").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("filter", "sides"))).alias("shared"))
-    rows = decoded.select("vec_id", "v").join(shared, "vec_id").select("vec_id", "v", F.col("shared.filter").alias("filters"), F.explode("shared").alias("own"))
+    met_rows = decoded.select("vec_id", "copies", "v").join(shared, "vec_id").select("vec_id", "copies", "v", F.col("shared.filter").alias("filters"), F.explode("shared").alias("own"))
     side = F.pmod(F.xxhash64("vec_id"), F.col("own.sides")).cast("int")
-    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own.sides") - 1)))
-    rows = rows.select("vec_id", "v", "filters", F.col("own.filter").alias("filter"), "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    met_rows = met_rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own.sides") - 1)))
+    met_rows = met_rows.select("vec_id", "copies", "v", "filters", F.col("own.filter").alias("filter"), "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     total = sizes.count() and met.join(sizes, "filter").agg(F.sum("sides")).first()[0]
     shards = max(1, math.ceil((total or 0) / SHARD))
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("filter", "ascending"), ("low", "ascending"), ("high", "ascending"), ("side", "ascending"), ("vec_id", "ascending")])
-        name, vectors = table["vec_id"].to_numpy(), table["v"].combine_chunks()
+        name, copies, vectors = table["vec_id"].to_numpy(), table["copies"].to_numpy(), table["v"].combine_chunks()
         own, low, high, side = (table[c].to_numpy() for c in ("filter", "low", "high", "side"))
         lists = table["filters"].combine_chunks()
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -175,17 +178,21 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
             left, right = _roots(linked, name[i], name[j])
             nodes += [name[i]] if same else [name[i], name[j]]
             roots += [left] if same else [left, right]
-            counts += [fresh.sum(axis=1)] if same else [fresh.sum(axis=1), fresh.sum(axis=0)]
+            counts += [fresh @ copies[j]] if same else [fresh @ copies[j], copies[i] @ fresh]
         if not nodes:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         found, back = np.unique(np.stack([np.concatenate(nodes), np.concatenate(roots)]), axis=1, return_inverse=True)
         return pa.table({"a": found[0], "b": found[1], "n": np.bincount(back.ravel(), np.concatenate(counts), found.shape[1]).astype(np.int64)})
 
-    ship(ids.sparkSession)
-    blocks = rows.groupBy(F.pmod(F.xxhash64("filter", "low", "high"), F.lit(shards)).alias("shard"))
+    ship(spark)
+    blocks = met_rows.groupBy(F.pmod(F.xxhash64("filter", "low", "high"), F.lit(shards)).alias("shard"))
     found = materialise(blocks.applyInArrow(verify, "a long, b long, n long"))
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("linked"))
     classes = components(found.where("a != b").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = ids.select("vec_id").join(counts, "vec_id", "left").join(classes, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    joined = ids.drop("v").join(counts, "vec_id", "left").join(classes, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    joined = materialise(joined.select("h", "g", "least", "component", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    least = joined.groupBy("component").agg(F.min("least").alias("reached"))
+    known = joined.join(least, "component").select("h", "g", "links", "reached")
+    out = rows.select("own_id", "h", "g").join(known, ["h", "g"], "left")
+    component = F.when(F.col("links").isNull(), F.col("own_id")).otherwise(F.col("reached"))
+    return out.select(F.col("own_id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("own_id").eqNullSafe(component).alias("kept"))
