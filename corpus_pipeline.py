@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators: each stage is written as Parquet and read again as the next one's documents.
 
-A row with a null id is kept by every stage that goes by ids. All stages but the last return the columns of `documents`.
+All stages but the last return the columns of `documents`.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, and one row of each id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    """Keep one document of each group of near-duplicates. Rows are told apart by numbers of their own, so repeated and null ids lose no text."""
+    row = "row_number" + "_" * max(map(len, docs.columns))
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = near_duplicates(numbered, id_column=row).where("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

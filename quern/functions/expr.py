@@ -57,6 +57,10 @@ from quern.types import (
 )
 
 
+#: What has a meaning in a pattern.
+_SPECIAL = set("\\.[]{}()*+?^$|")
+
+
 class E:
     """An expression. `e.name` or `e["name"]` is a field of a product; methods depend on the kind."""
 
@@ -346,8 +350,10 @@ class E:
     def split(self, delimiter: Any) -> E:
         """By a literal delimiter; trailing empty parts stay. An empty one gives the characters and an empty string."""
         text = self._text(delimiter)
-        quoted = F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        return self._like(Seq(STRING), F.split(self.col, quoted, -1))
+        if isinstance(delimiter, str) and delimiter:
+            return self._like(Seq(STRING), F.split(self.col, "".join("\\" + c if c in _SPECIAL else c for c in delimiter), -1))
+        plain = F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+        return self._like(Seq(STRING), F.split(self.col, F.when(F.length(plain) > 0, plain).otherwise("(?:)"), -1))
 
     def concat(self, *others: Any) -> E:
         """Strings, or sequences of the same kind."""

@@ -199,12 +199,13 @@ def join_flat_three_way(t):
     return two.select(lambda r: named(s_name=r.s_name, n_name=r.n_name, r_name=r.r_name))
 
 
-@query("SELECT count(*) AS pairs FROM (SELECT nullif(c_nationkey, 7) AS k FROM customer WHERE c_custkey < 200) a JOIN (SELECT nullif(s_nationkey, 7) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
+@query("SELECT count(*) AS pairs FROM (SELECT nullif(c_nationkey, 7) AS k FROM customer) a JOIN (SELECT nullif(s_nationkey, 7) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_safe(t):
     seven = lambda e: when(e != 7, e)
-    left = t("customer").where(lambda c: c.c_custkey < lit(200, LONG)).select(lambda c: named(k=seven(c.c_nationkey)))
+    left = t("customer").group_by(k=lambda c: seven(c.c_nationkey)).aggregate(n=lambda _: A.count())  # a key's rows are counted first, so the join makes one row for each supplier
     right = t("supplier").select(lambda s: named(k=seven(s.s_nationkey)))
-    return left.join(right, lambda a, b: a.k == b.k).count().select(lambda n: named(pairs=n))
+    pairs = left.join(right, lambda a, b: a.k == b.k).aggregate(lambda r: A.sum_(r._1.n))
+    return pairs.select(lambda n: named(pairs=n.get_or_else(lit(0, LONG))))
 
 
 @query("SELECT n_regionkey AS _1, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -670,7 +671,12 @@ def cached_reuse(t):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new path under spark.checkpoint.dir. Only a local master may lack that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
 
 
@@ -726,6 +732,116 @@ def latest_partition(t):
     return found.select(lambda r: r._1.opened().merge(r._2.opened()))
 
 
+@dataclass
+class ByTwo:
+    n_regionkey: Int
+    n_nationkey: Int
+
+
+@dataclass
+class NameOnly:
+    n_name: str
+
+
+def _by_two(t):
+    nation = t("nation")
+    spark, path = nation.frame.sparkSession, _folder(nation.frame.sparkSession)
+    io.write_hive(nation.select(lambda n: n.project(ByTwo), lambda n: n.project(NameOnly)), path)
+    return spark, path
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey IN (2, 3, 6, 7)")
+def hive_two_fields(t):
+    spark, path = _by_two(t)
+    return io.read_hive(spark, path, ByTwo, NameOnly, n_regionkey=[1, 3], n_nationkey=[2, 3, 6, 7]).select(lambda r: r._1.opened().merge(r._2.opened()))
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation WHERE n_nationkey <= 20)")
+def latest_of_two_fields(t):
+    spark, path = _by_two(t)
+    found = hive.read_latest(io.read_hive(spark, path, ByTwo, NameOnly), hive.read_partitions(spark, path, ByTwo), 20, "n_nationkey")
+    return found.select(lambda r: r._1.opened().merge(r._2.opened()))
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation JOIN (SELECT n_regionkey AS k, max(n_nationkey) AS m FROM nation WHERE n_nationkey <= 20 GROUP BY 1) ON n_regionkey = k AND n_nationkey = m")
+def latest_per_key(t):
+    spark, path = _by_two(t)
+    found = hive.read_latest_per_partition(io.read_hive(spark, path, ByTwo, NameOnly), hive.read_partitions(spark, path, ByTwo), 20, "n_nationkey")
+    return found.select(lambda r: r._1.opened().merge(r._2.opened()))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_glob(t):
+    nation = t("nation")
+    path = _folder(nation.frame.sparkSession)
+    io.write(nation, path)
+    return io.read(nation.frame.sparkSession, path, TABLES["nation"], glob="part-*")
+
+
+@query("SELECT n_name, TRUE AS ends FROM nation")
+def read_with_metadata(t):
+    nation = t("nation")
+    path = _folder(nation.frame.sparkSession)
+    io.write(nation, path)
+    rows = io.read(nation.frame.sparkSession, path, TABLES["nation"], metadata=True)
+    return rows.select(lambda r: named(n_name=r._2.opened().n_name, ends=r._1.opened().file_path.ends_with(".parquet")))
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def read_table_rows(t):
+    nation = t("nation")
+    spark, name = nation.frame.sparkSession, f"catalogue_{uuid.uuid4().hex}"
+    nation.to_df().select("n_nationkey", "n_name", "n_regionkey").write.partitionBy("n_regionkey").saveAsTable(name)
+    return io.read_table(spark, name, NationOnly, ByRegion).select(lambda r: r._1.opened().merge(r._2.opened()))
+
+
+@query("SELECT DISTINCT n_regionkey FROM nation")
+def table_partition_values(t):
+    nation = t("nation")
+    spark, name = nation.frame.sparkSession, f"catalogue_{uuid.uuid4().hex}"
+    nation.to_df().write.partitionBy("n_regionkey").saveAsTable(name)
+    return hive.read_table_partitions(spark, name, ByRegion)
+
+
+@query("SELECT n_regionkey FROM nation WHERE FALSE")
+def empty_rows(t):
+    return Dataset.empty(t("nation").frame.sparkSession, ByRegion)
+
+
+@query("SELECT 42 AS n_regionkey")
+def single_row(t):
+    return Dataset.single(t("nation").frame.sparkSession, ByRegion, ByRegion(42))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def values_only(t):
+    return t("nation").select(lambda n: n.project(ByRegion), lambda n: n.project(NationOnly)).values()
+
+
+@query("SELECT n_regionkey, max(n_name) AS value FROM nation GROUP BY 1")
+def agg_value(t):
+    return t("nation").group_by(n_regionkey=lambda n: n.n_regionkey).aggregate_value(lambda n: A.max_(n.n_name))
+
+
+@query("SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_nationkey < 12) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def join_right_flat(t):
+    some_ = t("supplier").where(lambda s: s.s_nationkey < 12)
+    return some_.right_join_flat(t("nation"), lambda s, n: s.s_nationkey == n.n_nationkey).select(lambda r: named(s_suppkey=r.s_suppkey, n_name=r.n_name))
+
+
+@query("SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_nationkey < 12) FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 5) ON s_nationkey = n_nationkey")
+def join_full_flat(t):
+    left, right = t("supplier").where(lambda s: s.s_nationkey < 12), t("nation").where(lambda n: n.n_nationkey > 5)
+    return left.full_join_flat(right, lambda s, n: s.s_nationkey == n.n_nationkey).select(lambda r: named(s_suppkey=r.s_suppkey, n_name=r.n_name))
+
+
+@query("SELECT n_name, a, b FROM (SELECT n_name, n_nationkey AS a, r_regionkey AS b FROM nation FULL JOIN (SELECT * FROM region WHERE r_regionkey > 1) ON n_regionkey < r_regionkey)")
+def join_full_theta(t):
+    right = t("region").where(lambda r: r.r_regionkey > 1)
+    joined = t("nation").full_join(right, lambda n, r: n.n_regionkey < r.r_regionkey)
+    return joined.select(lambda x: named(n_name=x._1.map(lambda n: n.n_name), a=x._1.map(lambda n: n.n_nationkey), b=x._2.map(lambda r: r.r_regionkey)))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 3")
 def checkpoint_rows(t):
     nation = t("nation").where(lambda n: n.n_regionkey < 3)

@@ -124,16 +124,14 @@ def latest(partitions: Dataset, run_date: Any, date: str = "date", override: Any
     """The newest partition date up to a run date (or the override), as a one-row dataset; an error if there is none."""
     kind = partitions.kind.get(date)
     if override is not None:
-        return Single(*_pair(partitions, lambda c: F.lit(encode(kind, override)), kind))
+        return Single(*_pair(partitions, lambda c: F.lit(encode(kind, override)), date))
     newest = lambda c: F.max(F.when(c <= F.lit(encode(kind, run_date)), c))
-    return Single(*_pair(partitions, lambda c: F.coalesce(newest(c), F.raise_error(F.lit("No partitions found")).cast("date" if kind == DATE else "int" if kind == INT else "string")), kind))
+    return Single(*_pair(partitions, lambda c: F.coalesce(newest(c), F.raise_error(F.lit("No partitions found")).cast("date" if kind == DATE else "int" if kind == INT else "string")), date))
 
 
-def _pair(ds: Dataset, f: Callable, kind: Kind) -> tuple:
-    df = ds.to_df()
-    name = next(n for n, k in ds.kind.fields if k == kind)
-    frame = df.agg(f(F.col(name)).alias("newest"), F.count(F.lit(1)).alias("_n")).select("newest")
-    return frame, E(kind, F.col("newest"))
+def _pair(ds: Dataset, f: Callable, date: str) -> tuple:
+    frame = ds.to_df().agg(f(F.col(f"`{date}`")).alias("newest"), F.count(F.lit(1)).alias("_n")).select("newest")
+    return frame, E(ds.kind.get(date), F.col("newest"))
 
 
 def read_latest(rows: Dataset, partitions: Dataset, run_date: Any, date: str = "date", override: Any = None) -> Dataset:
@@ -143,7 +141,7 @@ def read_latest(rows: Dataset, partitions: Dataset, run_date: Any, date: str = "
 
 
 def read_latest_per_partition(rows: Dataset, partitions: Dataset, run_date: Any, date: str = "date") -> Dataset:
-    """(P, T) rows of the newest date of each combination of the other partition fields."""
+    """(P, T) rows of the newest date of each combination of the other partition fields; an error if no date is old enough."""
     others = [n for n in partitions.kind.names if n != date]
     require(bool(others), "needs partition fields besides the date")
     kind = partitions.kind.get(date)
@@ -158,7 +156,8 @@ def read_latest_per_partition(rows: Dataset, partitions: Dataset, run_date: Any,
             test = test & (r._1.opened()[n] == p[n])
         return test
 
-    return rows.join(newest, same).select(lambda r: r._1)
+    last = latest(partitions, run_date, date)
+    return rows.where(lambda r: r._1.opened()[date] <= last.value).join(newest, same).select(lambda r: r._1)
 
 
 __all__ = ["Hive", "NoPartitions", "TypeProblem", "escape", "latest", "read_latest", "read_latest_per_partition", "read_partitions", "read_table_partitions"]

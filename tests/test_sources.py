@@ -110,6 +110,22 @@ def test_latest(spark):
     assert sorted(r[1].m for r in read_latest_per_partition(rows, parts, 9).collect()) == [3, 4]
 
 
+@dataclass(frozen=True)
+class Two:
+    region: Int
+    day: Int
+
+
+def test_latest_goes_by_the_named_field(spark):
+    parts = Dataset.of_rows(spark, Two, [Two(9, 1), Two(2, 5), Two(1, 7)])
+    assert latest(parts, 100, "day").collect_value() == 7 and latest(parts, 100, "region").collect_value() == 9
+    assert latest(parts, 6, "day").collect_value() == 5
+    rows = Dataset.of_rows(spark, tuple[Two, M], [(Two(9, 1), M(1)), (Two(2, 5), M(2)), (Two(1, 7), M(3))])
+    assert [r[1].m for r in read_latest_per_partition(rows, parts, 4, "day").collect()] == [1]
+    with pytest.raises(Exception, match="No partitions found"):
+        read_latest_per_partition(rows, parts, 0, "day").collect()
+
+
 def test_tables(spark):
     spark.sql("DROP TABLE IF EXISTS parted")
     spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "m long, p int, q string").write.partitionBy("p", "q").saveAsTable("parted")
