@@ -188,7 +188,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, filters_each: float
     blocks = met_rows.groupBy(F.pmod(F.xxhash64("filter", "low", "high"), F.lit(shards)).alias("shard"))
     found = materialise(blocks.applyInArrow(verify, "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("linked"))
-    classes = components(found.where("a != b").select("a", "b")).withColumnRenamed("node", "vec_id")
+    classes = components(materialise(found.where("a != b").select("a", "b").distinct())).withColumnRenamed("node", "vec_id")
     joined = ids.drop("v").join(counts, "vec_id", "left").join(classes, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     joined = materialise(joined.select("h", "g", "least", "component", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links")))
     least = joined.groupBy("component").agg(F.min("least").alias("reached"))

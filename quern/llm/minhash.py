@@ -105,15 +105,17 @@ def _similarities(left: Shingles, right: Shingles, idfs: np.ndarray) -> np.ndarr
     return out
 
 
-def _block_links(docs: DataFrame, labelled: DataFrame, idfs, threshold: float, width: int) -> DataFrame:
+def _block_links(docs: DataFrame, labelled: DataFrame, idfs, threshold: float, width: int) -> DataFrame | None:
     """Links (a, b) that join what similar pairs join, over all pairs of a bucket whose texts are in different classes.
 
     A bucket's strays are the texts outside its commonest class. Strays and the others are cut into sides by hash, and
-    each pair of sides with strays in one of them is a block, so a bucket of one class costs nothing.
+    each pair of sides with strays in one of them is a block, so a bucket of one class costs nothing. None where every bucket is of one class.
     """
     bucket = ["band", "key"]
     classes = labelled.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
     mains = materialise(classes.groupBy(*bucket).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes"))
+    if mains.isEmpty():
+        return None
     members = materialise(labelled.join(mains, bucket).select(*bucket, "doc_id", (F.col("component") != F.col("main")).alias("stray")))
     texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = materialise(members.join(texts, "doc_id"))
@@ -136,7 +138,7 @@ def _block_links(docs: DataFrame, labelled: DataFrame, idfs, threshold: float, w
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
     ship(docs.sparkSession)
-    return rows.groupBy(*bucket, "low", "high").applyInArrow(verify, "a long, b long")
+    return materialise(rows.groupBy(*bucket, "low", "high").applyInArrow(verify, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 10, rows: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     are occurrences times a bounded idf over all documents. Equal texts with words are one class at once. Samples are
     banded (`bands` keys of `rows` samples), so a pair at similarity s is a candidate with probability
     1 - (1 - s^rows)^bands. All pairs of a bucket of up to 16 texts are verified. Of a larger one, every text is verified
-    with the bucket's most central text (the one that shares most buckets), then texts still in another class with the
+    with the bucket's most central text (the one that shares most buckets of that kind), then texts still in another class with the
     most central of each of 4 salts, and then all pairs whose texts are still in different classes, in blocks that return
     block-wise roots, never pairs. So every pair of a bucket is compared or already in one class.
 
@@ -177,16 +179,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 
     signed = materialise(arrow_map(docs, sign, "doc_id long, same binary, keys array<long>"))
     known = signed.where(F.col("doc_id").isNotNull())
-    first = known.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    copied = materialise(first.where("copies > 1").select("same", "first"))
-    known = materialise(known.join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"), "keys"))
+    texts = known.where(F.col("same").isNotNull()).groupBy("same")
+    texts = materialise(texts.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
 
-    entries = known.where(F.col("doc_id") == F.col("first")).select("doc_id", F.posexplode("keys").alias("band", "key")).distinct()
+    entries = texts.select(F.col("first").alias("doc_id"), F.posexplode("keys").alias("band", "key"))
     sizes = materialise(entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     entries = materialise(entries.join(sizes, ["band", "key"]))
-    central = materialise(entries.groupBy("doc_id").agg(F.sum("size").alias("central")))
-    entries = materialise(entries.join(central, "doc_id"))
-    small, large = entries.where(F.col("size") <= _SMALL), materialise(entries.where(F.col("size") > _SMALL))
+    small, large = entries.where(F.col("size") <= _SMALL), entries.where(F.col("size") > _SMALL)
+    large = materialise(large.join(large.groupBy("doc_id").agg(F.sum("size").alias("central")), "doc_id"))
 
     other = small.select("band", "key", F.col("doc_id").alias("other"))
     within = small.join(other, ["band", "key"]).where("doc_id < other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
@@ -201,15 +201,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         leaders = materialise(labelled.groupBy("band", "key", (F.xxhash64("doc_id") % _SALTS).alias("salt")).agg(F.max_by(F.struct("doc_id", "component"), F.struct("central", -F.col("doc_id"))).alias("leader")))
         led = labelled.join(leaders, ["band", "key"]).where(F.col("component") != F.col("leader.component"))
         led = led.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
-        more = materialise(_verify(docs, materialise(led.join(pairs, ["a", "b"], "left_anti")), idfs, threshold, width))
-        links = links.unionAll(more).select("a", "b")
-        classes = components(links)
-        labelled = materialise(large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-        rest = materialise(_block_links(docs, labelled, idfs, threshold, width))
-        if not rest.isEmpty():
-            classes = components(links.unionAll(rest))
-
-    reached = known.select("doc_id", "first").join(classes.select(F.col("node").alias("first"), "component"), "first", "left")
+        led = materialise(led.join(pairs, ["a", "b"], "left_anti"))
+        if not led.isEmpty():
+            more = materialise(_verify(docs, led, idfs, threshold, width))
+            links = links.unionAll(more)
+            classes = components(links)
+            labelled = materialise(large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        rest = _block_links(docs, labelled, idfs, threshold, width)
+        if rest is not None:
+            classes = components(links.select("a", "b").unionAll(rest))
+
+    copied = texts.where("copies > 1").select("same", "first")
+    known = known.join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
+    reached = known.join(classes.select(F.col("node").alias("first"), "component"), "first", "left")
     found = reached.select("doc_id", F.coalesce("component", "first").alias("class_id"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).unionAll(
         signed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
